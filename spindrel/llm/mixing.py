@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, prefix_sums, small_join, unit_hash
+from .common import WORD, prefix_sums, small_join, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed
     weight = quality_weight(F.col("text")) if weight is None else weight
     drawn = -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / weight
     rows = docs.select("doc_id", "source", size.alias("size"), drawn.alias("_key"))
-    rows = rows.withColumn("_unit", F.lit(1.0) - F.exp(-F.col("_key")))
+    rows = table(rows.withColumn("_unit", F.lit(1.0) - F.exp(-F.col("_key"))))  # texts are read once; what follows reads these few columns
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = targets(sources, weights, most).withColumnRenamed("source", "_s")
     ordered = prefix_sums(rows, "source", "_key", "_unit", "size", ["doc_id", "size"])
