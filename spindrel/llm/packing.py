@@ -23,7 +23,7 @@ WINDOW = 2048
 END = 1
 VOCABULARY = "byte_bpe_50k"
 #: Documents whose rests are packed together; bounds a task's memory with BLOCK_IDS.
-BLOCK_ROWS, BLOCK_IDS = 20_000, 4_000_000
+BLOCK_ROWS, BLOCK_IDS = 20_000, 2_000_000
 #: Combinations tried for a block.
 COMBINATIONS = 6000
 #: Texts outside these ranges go to the `tokenizers` library itself; inside, its ids and tiktoken's were found equal.
@@ -46,16 +46,19 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self.path, self.exact = public_tokenizers.path(f"{vocabulary}.json"), None
         self.odd = re.compile(PLAIN)
 
     def __call__(self, text: str) -> list[int]:
         if self.odd.search(text):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -202,8 +205,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end: int = END, vocabulary: str
         serial, waiting, held = 0, [], 0
 
         def drain() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(packer.out), 4096):
-                part = packer.out[at : at + 4096]
+            for at in range(0, len(packer.out), 1024):
+                part = packer.out[at : at + 1024]
                 cols = list(zip(*part, strict=True))
                 docs_ = [kept[row] for row in cols[0]]
                 ids = [d[1][4 * s : 4 * (s + n)] for d, s, n in zip(docs_, cols[1], cols[2], strict=True)]
