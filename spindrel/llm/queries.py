@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, chat, mixing, multiindex, packing, simhash
+from . import balltree, chat, fmindex, mixing, multiindex, packing, pfp, simhash, toxicity
 from .common import read
 
 
@@ -14,6 +14,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.crc_fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pfp.dedup(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return done.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fmindex.dedup(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return done.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(read(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -100,5 +118,5 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_topk": op3_topk, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_neighbours": op7_neighbours, "op9_mixing": op9_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op4_bytes": op4_bytes, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_neighbours": op7_neighbours, "op8_words": op8_words, "op9_mixing": op9_mixing}
 ORACLE_SQL = {"op3_topk": OP3_SQL, "op6_chat": OP6_SQL, "op9_mixing": OP9_SQL}
