@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, chat, fmindex, mixing, multiindex, packing, pfp, simhash, toxicity
+from . import balltree, chat, fmindex, linededup, mixing, multiindex, packing, pfp, simhash, toxicity
 from .common import read
 
 
@@ -118,5 +118,28 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op4_bytes": op4_bytes, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_neighbours": op7_neighbours, "op8_words": op8_words, "op9_mixing": op9_mixing}
-ORACLE_SQL = {"op3_topk": OP3_SQL, "op6_chat": OP6_SQL, "op9_mixing": OP9_SQL}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.per_document(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.transform("removed", lambda i: i.cast("string"))).alias("removed_lines"))
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(s))) AS line, unnest(s) AS said FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(said, '[^ 	-]+'))) AS t FROM l),
+n AS (SELECT * FROM w WHERE len(t) > 0),
+c AS (SELECT t, len(t) AS n, min(struct_pack(d := doc_id, l := line)) AS first, row_number() OVER (ORDER BY t) AS id FROM n GROUP BY t),
+e AS (SELECT id, n, first, unnest(t) AS word FROM c),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, any_value(b.first) AS late, count(*) AS o
+      FROM (SELECT word FROM e GROUP BY word HAVING count(*) > 1) AS f JOIN e a USING (word) JOIN e b ON a.word = b.word AND a.first < b.first
+       AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4
+      GROUP BY a.id, b.id HAVING count(*) * 9 >= (any_value(a.n) + any_value(b.n)) * 4),
+g AS (SELECT n.doc_id, n.line, struct_pack(d := n.doc_id, l := n.line) <> c.first OR c.id IN (SELECT b FROM p) AS gone FROM n JOIN c ON n.t = c.t),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+             coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (gone), '') AS removed_lines FROM g GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_toxicity": op2_toxicity, "op3_topk": op3_topk, "op4_bytes": op4_bytes, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_neighbours": op7_neighbours, "op8_words": op8_words, "op9_mixing": op9_mixing, "op10_lines": op10_lines}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op6_chat": OP6_SQL, "op9_mixing": OP9_SQL, "op10_lines": OP10_SQL}
