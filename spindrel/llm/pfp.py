@@ -27,15 +27,31 @@ _SYMBOLS = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).dig
 
 
 def classes(first: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
-    """Ranks (from 1) of the suffixes that run to `ends`, equal ones alike, from ranks `first` of their first `step` symbols."""
-    rank = np.unique(first, return_inverse=True)[1].astype(np.int64) + 1
-    here, count, n = np.arange(len(first)), 0, len(first)
-    longest = int((ends - here).max(initial=0))
-    while step < longest and rank.max() > count:
-        count = rank.max()
-        follows = here + step
-        after = np.where(follows < ends, rank[np.minimum(follows, n - 1)], 0)
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+    """Ranks (from 1) of the suffixes that run to `ends`, equal ones alike, from ranks `first` of their first `step` symbols.
+
+    Prefix doubling; a class's rank is the place of its first member, so that a round only touches classes still mixed.
+    """
+    n = len(first)
+    order = np.argsort(first)
+    fresh = np.concatenate([[True], first[order][1:] != first[order][:-1]])
+    place = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = place + 1
+    alone = fresh & np.append(fresh[1:], True)
+    mixed = order[~alone]
+    while len(mixed):
+        follows = mixed + step
+        after = np.where(follows < ends[mixed], rank[np.minimum(follows, n - 1)], 0)
+        before, going = rank[mixed], after > 0
+        sort = np.argsort(before * (n + 2) + after)
+        mixed, before, after, going = mixed[sort], before[sort], after[sort], going[sort]
+        old = np.concatenate([[True], before[1:] != before[:-1]])
+        new = old | np.concatenate([[True], after[1:] != after[:-1]])
+        here = np.arange(len(mixed))
+        base = np.maximum.accumulate(np.where(old, here, 0))
+        own = np.maximum.accumulate(np.where(new, here, 0))
+        rank[mixed] = before + own - base
+        mixed = mixed[~(new & np.append(new[1:], True)) & going]  # alone, or at their ends: settled
         step *= 2
     return rank
 

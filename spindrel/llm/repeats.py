@@ -7,8 +7,8 @@ anchor would hold. Equal windows have equal cores. Three passes over the texts,
 
 1. cores are counted; those that occur twice set bits of a filter of fixed size (a filter lets too many pass, never too few);
 2. runs whose cores pass are kept. Runs that share `whole` are repeats in full. The others, the open runs, stand at
-   the edges of repeats (or passed by chance);
-3. contexts of runs with an open run's core are dealt to shards by core. In a shard, an index over its
+   the edges of repeats (or passed by chance, and then are alone with their core);
+3. contexts of runs whose core has an open run and another context are dealt to shards by core. In a shard, an index over its
    contexts says which single windows occur in more than one. A core with very many different contexts would be a hot
    shard: its windows are counted by hash instead, which any number of tasks can do.
 
@@ -202,11 +202,13 @@ def repeated(docs: DataFrame, scheme: Scheme, find: Callable[[pa.Table], pa.Tabl
     runs_ = table(texts.mapInArrow(kept, "core long, whole long, doc_id long, th long, lo long, hi long"))
     full = table(runs_.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole"))
     closed = runs_.join(full, "whole", "left_semi").select("doc_id", "th", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    open_ = table(runs_.join(full, "whole", "left_anti").select("core", "whole"))
-    variants = runs_.select("core", "whole").distinct().groupBy("core").agg(F.count(F.lit(1)).alias("n"))
-    crowded = table(variants.where(F.col("n") > hot).select("core"))
-    n_open, n_hot = open_.count(), crowded.count()
-    wanted = spark.sparkContext.broadcast(filter_of(open_, "core"))
+    variants = runs_.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"))
+    variants = variants.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least"))
+    unsure = table(variants.where("n > 1 AND least = 1"))  # an open run, and other contexts to find its windows in
+    crowded = unsure.where(F.col("n") > hot)
+    sizes = unsure.agg(F.sum("n"), F.sum((F.col("n") > hot).cast("long"))).first()
+    n_contexts, n_hot = sizes[0] or 0, sizes[1] or 0
+    wanted = spark.sparkContext.broadcast(filter_of(unsure, "core"))
     spread = spark.sparkContext.broadcast(filter_of(crowded, "core", 1 << 20))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def repeated(docs: DataFrame, scheme: Scheme, find: Callable[[pa.Table], pa.Tabl
                     yield batch_of(core=runs.core[new], whole=runs.whole[new], doc_id=pa.array([ids[r] for r in row], pa.int64()), th=pa.array([ths[r] for r in row], pa.int64()), lo=runs.lo[new], context=pa.array([runs.raw[a:b].tobytes() for a, b in zip(runs.start[new].tolist(), stop.tolist(), strict=True)], pa.binary()))
 
     sent = texts.mapInArrow(contexts, "core long, whole long, doc_id long, th long, lo long, context binary")
-    shards = max(1, -(-n_open * 3 // (2 * shard)))
+    shards = max(1, -(-n_contexts // shard))
     sent = sent.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
     single = sent.groupBy("shard").applyInArrow(find, "doc_id long, th long, start long, stop long")
     found = closed.union(single)
