@@ -49,8 +49,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCH
     return solved.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 42, weight=None) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, epochs (times taken), taken.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 42, weight=None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text, source, ...) -> doc_id, source, size, source_size, target, epochs (times taken), taken and the columns of `carry`.
 
     One row out per row in. Null text: size 0. Null source: a source of its own, the last. Repeated rows count
     as separate documents. Documents of size 0 are taken once per complete epoch and, holding no words, change
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     weight = quality_weight(F.col("text")) if weight is None else weight
     drawn = -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / weight
-    rows = docs.select("doc_id", "source", size.alias("size"), drawn.alias("_key"))
+    rows = docs.select("doc_id", "source", *carry, size.alias("size"), drawn.alias("_key"))
     rows = table(rows.withColumn("_unit", F.lit(1.0) - F.exp(-F.col("_key"))))  # texts are read once; what follows reads these few columns
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = targets(sources, weights, most).withColumnRenamed("source", "_s")
@@ -71,4 +71,4 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
     more = (F.col("before") + F.col("size") / 2.0 <= rest) & (F.col("_whole") < most) & (F.col("size") > 0)
     ordered = ordered.withColumn("epochs", F.col("_whole") + F.when(more, 1).otherwise(0))
-    return ordered.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+    return ordered.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), *carry)
