@@ -13,6 +13,8 @@ from spindrel.operators.cut import cut
 
 #: Rows that centroids are trained on at most.
 SAMPLE = 100_000
+#: Members of a tag that one task assigns.
+PART = 20_000
 
 
 def seeded(points: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -83,8 +85,8 @@ def label_cells(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def per_tag(items: DataFrame, tags: DataFrame, min_count: int, per_cell: int, max_cells: int, sample_per_cell: int = 256, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """(tag, cell, row) and (tag, cell, c): an inverted file for each tag with at least min_count items.
 
-    Centroids are trained per tag on at most sample_per_cell * cells rows by hash; members are then assigned by a join, so
-    that a tag of any size is spread over tasks.
+    Centroids are trained per tag on about sample_per_cell * cells rows by hash; members are then assigned in parts of
+    bounded size, so that a tag of any size is spread over tasks.
     """
     counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     cells = F.greatest(F.lit(1), F.least(F.lit(max_cells), F.floor(F.col("n") / per_cell))).cast("int")
@@ -102,9 +104,26 @@ def per_tag(items: DataFrame, tags: DataFrame, min_count: int, per_cell: int, ma
         return pa.table({"tag": pa.array([tag] * len(centres), pa.int64()), "cell": pa.array(range(len(centres)), pa.int32()), "c": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
     centroids = cut(picked.select("tag", "k", "row", "u8").groupBy("tag", "k").applyInArrow(fit, "tag long, cell int, c array<double>"))
-    square = F.aggregate(F.zip_with("u8", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    nearest = member.join(centroids, "tag").select("tag", "row", F.struct(square.alias("d"), "cell").alias("at")).groupBy("tag", "row").agg(F.min("at").alias("at"))
-    return nearest.select("tag", F.col("at.cell").alias("cell"), "row"), centroids
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = member.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).select("tag", "part", "row", "u8")
+    given = centroids.join(sized, "tag").select("tag", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "cell", "c")
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            none = pa.array([], pa.int64())
+            return pa.table({"tag": none, "cell": pa.array([], pa.int32()), "row": none})
+        cells = np.asarray(right["cell"].combine_chunks())
+        order = np.argsort(cells)
+        at = near(_matrix(left["u8"]), _matrix(right["c"])[order])
+        return pa.table({"tag": left["tag"], "cell": pa.array(cells[order][at].astype(np.int32)), "row": left["row"]})
+
+    placed = dealt.groupBy("tag", "part").cogroup(given.groupBy("tag", "part")).applyInArrow(place, "tag long, cell int, row long")
+    return placed, centroids
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
 def save(path: str, **tables: DataFrame) -> None:
