@@ -107,3 +107,9 @@ def stratified(corpus: Corpus, queries: DataFrame, per_bin: int, seed: int = 42)
 def pick_queries(queries: DataFrame, step: int, limit: int) -> DataFrame:
     """Every step-th query in order of qid, `limit` at most."""
     return queries.withColumn("_i", F.row_number().over(Window.orderBy("qid")) - 1).where((F.col("_i") % step == 0) & (F.col("_i") < step * limit)).drop("_i")
+
+
+def slice_of(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n items, the first by a hash of their number and the seed; truths are computed anew on the slice."""
+    mixed = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("row").cast("string")))
+    return items.orderBy(mixed, "row").limit(n)

@@ -13,7 +13,7 @@ from spindrel.operators import evaluate, graph, ivf, model, runner, search, stat
 from spindrel.operators.cut import cut
 from spindrel.operators.search import Budget, Corpus
 from spindrel.plans import planner
-from spindrel.streaming import applier
+from spindrel.streaming import applier, workload
 
 K = 10
 RANGES = (Range("uniform", 100_000, 700_000), Range("proj", -2_000, 500))
@@ -438,3 +438,43 @@ def graph_s5(spark, d):
 def quantised_vectors(spark, d):
     rows = model.read(spark, d, "embeddings").select(F.col("vec_id").alias("row"), quantise("embedding").alias("u8"))
     return rows.select("row", F.aggregate("u8", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.array_min("u8").alias("least"), F.array_max("u8").alias("most"))
+
+
+@register("dataset_slice", """, part AS (SELECT row, u8 FROM items ORDER BY md5('42:' || row), row LIMIT 100),
+d AS (SELECT q.qid, p.row, CAST(list_sum(list_transform(list_zip(p.u8, q.qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS dist FROM queries q, part p)
+SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row) AS INTEGER) AS rk, row, dist FROM d) WHERE rk <= 10""")
+def dataset_slice(spark, d):
+    """The truth of a seeded slice of 100 items."""
+    corpus, queries = batch(spark, d)
+    return search.scan(stats.slice_of(corpus.items, 100), queries, K)
+
+
+@register("tombstone_drift", """, shares AS (SELECT unnest([0, 20, 60]) AS share),
+live AS (SELECT share, row FROM shares, items WHERE (row * 7919) % 100 >= share),
+t AS (SELECT l.share, s.qid, s.row, s.dist, row_number() OVER (PARTITION BY l.share, s.qid ORDER BY s.dist, s.row) AS rk FROM scored s JOIN live l ON l.row = s.row),
+v AS (SELECT l.share, s.qid, s.row, row_number() OVER (PARTITION BY l.share, s.qid ORDER BY s.dist, s.row) AS rk FROM scored s JOIN live l ON l.row = s.row
+  JOIN cells c ON c.row = s.row JOIN probed p ON p.qid = s.qid AND p.cell = c.cell AND p.ord <= 2),
+h AS (SELECT t.share, t.qid, count(*) AS possible, count(v.row) AS hits FROM t LEFT JOIN v ON v.share = t.share AND v.qid = t.qid AND v.row = t.row AND v.rk <= 10 WHERE t.rk <= 10 GROUP BY t.share, t.qid)
+SELECT share, count(*) AS queries, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(possible) AS BIGINT) AS possible, sum(hits) / CAST(sum(possible) AS DOUBLE) AS recall FROM h GROUP BY share""", CELLS)
+def tombstone_drift(spark, d):
+    return workload.tombstone_drift(*batch(spark, d), K, 2, (0, 20, 60))
+
+
+@register("constructed_workload", """, w AS (
+  SELECT i * 1000000 // 20 AS due_us, 'insert' AS op, i + n.n AS id, CAST(i % 1000 AS VARCHAR) AS adds, '' AS removes, 0 AS o, i FROM range(200) t(i), n
+  UNION ALL SELECT i * 1000000 // 30, 'delete', (i * 7919) % n.n, '', '', 1, i FROM range(300) t(i), n
+  UNION ALL SELECT i * 1000000 // 50, 'set_attrs', (i * 104729 + 13) % n.n, CASE WHEN i % 2 = 0 THEN CAST(i % 1000 AS VARCHAR) ELSE '' END,
+    CASE WHEN i % 2 = 1 THEN CAST(((i * 104729 + 13) % n.n) % 10 AS VARCHAR) ELSE '' END, 2, i FROM range(500) t(i), n)
+SELECT row_number() OVER (ORDER BY due_us, o, i) AS seq, due_us, op, id, adds, removes FROM w""")
+def constructed_workload(spark, d):
+    made = workload.constructed(spark, model.read(spark, d, "embeddings").count(), 10, {"insert": 20, "delete": 30, "set_attrs": 50})
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda t: t.cast("string")))
+    return made.select("seq", "due_us", "op", "id", text("add_tags").alias("adds"), text("remove_tags").alias("removes"))
+
+
+@register("event_counters", """, e AS (SELECT event_id + 1 AS seq, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'set_attrs' END AS op FROM events)
+SELECT op, count(*) AS applied, count(*) FILTER (seq % 10 = 0) AS skipped, max(seq) AS last_seq FROM e GROUP BY op""")
+def event_counters(spark, d):
+    """Counters of a stream in which every tenth event comes twice."""
+    events = model.catalog_events(spark, d).select("seq", "id", "op")
+    return workload.counters(events.union(events.where("seq % 10 = 0")))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrel.engine import Engine
-from spindrel.sources import formats
-from spindrel.streaming import applier
+from spindrel.sources import formats, kafka
+from spindrel.streaming import applier, workload
 
 EVENT = "seq long, id long, op string, add_tags array<long>, remove_tags array<long>, produced_at timestamp"
 
@@ -112,3 +112,24 @@ def test_engine_facade(spark):
     assert engine.stats(tags=[1]).first()["matches"] == 10
     with pytest.raises(ValueError):
         engine.search([1, 2], mode="S9")
+
+
+def test_event_files_and_kafka_switch(spark, tmp_path):
+    events = spark.createDataFrame([(1, 5, "insert", [1, 2], [], None)], EVENT)
+    kafka.write(events, str(tmp_path / "events"))
+    query = kafka.read(spark, str(tmp_path / "events")).writeStream.format("memory").queryName("read_back").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r)[:5] for r in spark.table("read_back").collect()] == [(1, 5, "insert", [1, 2], [])]
+    assert kafka.decode(kafka.encode(events)).first()["add_tags"] == [1, 2]
+    if not kafka.available(spark):
+        with pytest.raises(RuntimeError):
+            kafka.read(spark, "broker:9092", "catalog-events")
+
+
+def test_workload_is_paced(spark):
+    rows = workload.constructed(spark, 100, 2, {"insert": 5, "set_attrs": 10}).orderBy("seq").collect()
+    assert [r["seq"] for r in rows] == list(range(1, 31)) and [r["due_us"] for r in rows] == sorted(r["due_us"] for r in rows)
+    assert {r["id"] for r in rows if r["op"] == "insert"} == set(range(100, 110))
+    assert workload.paced(spark, 5).isStreaming
+    lags = applier.lag(spark.createDataFrame([(1, 1, "insert", [1], [])], "seq long, id long, op string, add_tags array<long>, remove_tags array<long>").withColumn("produced_at", F.current_timestamp()), F.current_timestamp() + F.expr("INTERVAL 2 SECONDS"))
+    assert lags.first()["p50"] == 2000.0
