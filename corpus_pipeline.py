@@ -2,7 +2,7 @@
 
 1. toxicity: a classifier fitted on the labelled documents (those of fold 0 held out) scores every window; documents at 0.5 or more go.
 2. line dedup: lines with a similar line (Jaccard of words 0.8 or more) before them go; documents left without words go.
-3. SimHash near-dedup over five-word shingles: of documents linked by fingerprints at most 2 bits apart, the one with the smallest id stays.
+3. SimHash near-dedup over five-word shingles: of documents linked by fingerprints at most 2 bits apart or by a Jaccard similarity of their shingles of 0.8 or more, the one with the smallest id stays.
 4. mixing: sources share the total of all words by weight, at most three times their own; documents are repeated or left out.
 5. packing into sequences of at most 2048 tokens; one row per piece, with its ids.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.llm import linededup, mixing, packing, simhash, toxicity
+from spindrel.llm import linededup, mixing, nearcopies, packing, toxicity
 from spindrel.llm.common import read, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,7 +33,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the smallest id of a group (repeated rows, or ids without a number), the one with the smallest text hash stays."""
     keyed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("th"))
-    groups = simhash.simhash_groups(keyed.select("doc_id", "text"), shingle=5)
+    near = nearcopies.near_groups(keyed.select("doc_id", "text"), shingle=5)
+    groups = near.join(near.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     first = docs.select(*COLUMNS).join(stay.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     many = stay.where("n > 1")

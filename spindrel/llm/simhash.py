@@ -11,7 +11,7 @@ one-bit neighbours, of which two fingerprints at most 2 bits apart share one, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,27 +62,37 @@ class Golay:
         return self.decode(words[:, None] ^ flips)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of the text's word shingles (XXH64 over UTF-8); 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (over UTF-8) of the text's word shingles in order, in blocks; a text of fewer words is one shingle, one without words none."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    joined = b" ".join(words)
+    size, joined = min(shingle, len(words)), b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    total, counts = len(words) - shingle + 1, np.zeros(64, np.int64)
+    total = len(words) - size + 1
     for at in range(0, total, 65536):
         stop = min(total, at + 65536)
         starts = [ends[at - 1] if at else 0, *ends[at : stop - 1]]
-        hashes = np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[at + shingle - 1 :])], dtype="<u8")
+        yield np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[at + size - 1 :])], dtype="<u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The 64 bits that more than half of the hashes have; 0 without hashes."""
+    total, counts = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        total += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit SimHash of the text's word shingles; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp long)."""
 

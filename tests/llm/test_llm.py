@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spindrel.llm import balltree, chat, fmindex, graph, linededup, mixing, multiindex, packing, pfp, repeats, simhash, toxicity
+from spindrel.llm import balltree, chat, fmindex, graph, linededup, mixing, multiindex, nearcopies, packing, pfp, repeats, simhash, toxicity
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, fp long, label int, th long, id long, w string, key long"
 
@@ -78,6 +78,75 @@ def test_simhash(spark, corpus, paired):
     assert got == sorted((i is None, i, want[t], lowest.get(label[want[t]])) for i, t, _ in corpus)
 
 
+def near_copies():
+    """Texts of 40 to 300 words, each with copies of 1 to 12 words changed and other line breaks, a chain of them and a family of many."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = rng.choice(vocabulary)
+        return words
+
+    def broken(words):
+        every = rng.randint(5, 30)
+        return "\n".join(" ".join(words[i : i + every]) for i in range(0, len(words), every))
+
+    texts = []
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(40 + 260 * (i % 3) // 2)]
+        texts += [broken(edited(base, n)) for n in (0, 1, rng.randint(2, 5), rng.randint(6, 12))]
+    link = [rng.choice(vocabulary) for _ in range(200)]
+    for _ in range(12):
+        link = edited(link, 2)
+        texts.append(broken(link))
+    family = [rng.choice(vocabulary) for _ in range(150)]
+    texts += [broken(edited(family, rng.randint(0, 6))) for _ in range(70)]
+    rng.shuffle(texts)
+    return texts
+
+
+def sets_of(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_labels(texts):
+    """Each text's component by brute force: fingerprints at most 2 bits apart, or Jaccard similarity of five-word shingles of 0.8 or more."""
+    prints, sets = [simhash.fingerprint(t, 5) for t in texts], [sets_of(t) for t in texts]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) if sets[a] and sets[b] else False
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    return components([(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 2 or alike(a, b)], range(len(texts)))
+
+
+def test_near_copies_stage(spark, corpus):
+    """The pipeline's stage against brute force over all pairs: copies of a similarity of 0.8 or more go, other line breaks or not."""
+    import corpus_pipeline
+
+    texts = near_copies() + [t for i, t, _ in corpus if i is not None]
+    texts += [t.replace("\n", "  \t").upper() for t in texts[:10]]
+    label = near_labels(texts)
+    assert sum(label[i] != i for i in label) > 120
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == set(label.values())
+
+
+def test_minhash_reaches_the_similarity():
+    """Pairs at 0.8 to 0.85 share a band and pass the sketch, nearly all."""
+    rng = np.random.default_rng(3)
+    hit = total = 0
+    for _ in range(400):
+        n = int(rng.integers(60, 600))
+        same, one, two = (rng.integers(0, 1 << 64, k, dtype=np.uint64) for k in (n, n // 10, n // 10))
+        low, other = nearcopies.minima(np.concatenate([same, one])), nearcopies.minima(np.concatenate([same, two]))
+        equal = (low == other)[: nearcopies.BANDS * nearcopies.ROWS].reshape(nearcopies.BANDS, nearcopies.ROWS)
+        hit += bool(equal.all(1).any())
+        total += 1
+    assert hit >= 0.995 * total
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1200)]
