@@ -31,19 +31,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with the smallest id of a group (repeated rows, or ids without a number), the one with the smallest text hash stays."""
-    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("th"))
-    near = nearcopies.near_groups(keyed.select("doc_id", "text"), shingle=5)
-    groups = near.join(near.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    first = docs.select(*COLUMNS).join(stay.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of a group, the document with the smallest id stays, and of that id the one with the smallest text hash; null ids come last. Of repeated rows one stays."""
+    near = nearcopies.near_groups(docs.select("doc_id", "text"), shingle=5)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one")
+    chosen = near.groupBy("label").agg(first).select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
+    stay = table(near.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_semi").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")))
+    keyed = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("_k"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
+
+    def of(those: DataFrame) -> DataFrame:
+        return keyed.join(those.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left_semi")
+
     many = stay.where("n > 1")
     if many.isEmpty():
-        return first
-    alone = first.join(many.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    shared = first.join(many.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = shared.groupBy("doc_id", F.xxhash64("text").alias("_th")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return alone.unionByName(one.select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
+        return of(stay).select(*COLUMNS)
+    alone, shared = of(stay.where("n = 1")), of(many)
+    one = shared.groupBy("_k", "_t").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+    return alone.select(*COLUMNS).unionByName(one.select("r.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

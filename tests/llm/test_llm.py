@@ -133,6 +133,21 @@ def test_near_copies_stage(spark, corpus):
     assert got == set(label.values())
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """One row of each group stays, also where ids are null or belong to different texts."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    one, two, three = (" ".join(f"w{rng.randint(0, 5000)}" for _ in range(80)) for _ in range(3))
+    near = lambda t, n: t + f" x{n}"
+    rows = [(None, one), (None, near(one, 1)), (5, near(one, 2)), (None, two), (None, near(two, 1)), (7, near(two, 2)), (5, near(two, 3)), (None, three), (None, near(three, 1)), (5, near(one, 2)), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    of_three = {k: n for k, n in got.items() if k[1] and k[1].startswith(three)}
+    assert {k: n for k, n in got.items() if k not in of_three} == {(5, near(one, 2)): 1, (5, near(two, 3)): 1, (9, None): 1}
+    assert list(of_three.values()) == [1] and next(iter(of_three))[0] is None
+
+
 def test_minhash_reaches_the_similarity():
     """Pairs at 0.8 to 0.85 share a band and pass the sketch, nearly all."""
     rng = np.random.default_rng(3)
