@@ -112,6 +112,17 @@ def scan(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best(out, k)
 
 
+def scan_tags(corpus: Corpus, queries: DataFrame) -> DataFrame:
+    """(qid, row) of rows with all of a query's tags: the nested column is read once for a block of about SCAN_QUERIES queries."""
+    nested = corpus.tags.groupBy("row").agg(F.collect_set("tag").alias("tags"))  # a row's own tags: bounded
+    blocks, out = max(1, -(-queries.count() // SCAN_QUERIES)), None
+    for block in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", "qtags")
+        found = nested.join(F.broadcast(part), has_all("tags", "qtags")).select("qid", "row")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def s1(corpus: Corpus, queries: DataFrame, k: int, budget: Budget, match_counts: DataFrame, live: int) -> DataFrame:
     """Post-filter: fetch ceil(k / selectivity * safety) unfiltered neighbours (within max(k, ef) and max_fetch), keep those that pass.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrel.functions.predicates import Range, has_all
+from spindrel.functions.predicates import Range
 from spindrel.functions.vectors import quantise
 from spindrel.operators import evaluate, graph, ivf, model, runner, search, stats
 from spindrel.operators.cut import cut
@@ -251,7 +251,7 @@ def filter_modes(spark, d):
     """The three ways of filtering: postings, a scan of the nested column, the state table; all find the same rows."""
     corpus, queries = batch(spark, d)
     terms = search.matching(corpus, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("terms"))
-    nested = corpus.tags.groupBy("row").agg(F.collect_set("tag").alias("tags")).join(F.broadcast(queries.select("qid", "qtags").limit(search.SCAN_QUERIES)), has_all("tags", "qtags")).groupBy("qid").agg(F.count(F.lit(1)).alias("nested"))
+    nested = search.scan_tags(corpus, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("nested"))
     live = corpus.tags.groupBy("row").agg(F.sort_array(F.collect_set("tag")).alias("tags")).select("row", F.explode("tags").alias("tag"))
     state = search.matching(Corpus(corpus.items, live), queries).groupBy("qid").agg(F.count(F.lit(1)).alias("state"))
     return terms.join(nested, "qid").join(state, "qid")
