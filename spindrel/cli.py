@@ -26,7 +26,7 @@ COMMANDS = {
     "build-ivf": ["kmeans_s4"],
     "build-pertag": ["s6_per_tag"],
     "subset": ["stratified_subset"],
-    "slice": ["query_pick"],
+    "slice": ["dataset_slice"],
     "smoke": ["s0_topk", "s1_post_filter", "s4_label_ivf", "graph_s2"],
     "sweep": ["recall_by_config", "recall_summary", "pareto", "best_config"],
     "exp3": ["cost_fit", "planner_calibrate", "planner_lagrange", "oracle_choice", "misroutes"],

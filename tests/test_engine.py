@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spindrel import cli
 from spindrel.functions import predicates, vectors
 from spindrel.functions.predicates import Predicate, Range
 from spindrel.operators import evaluate, graph, ivf, runner, search, stats
@@ -46,6 +47,20 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_filter_modes_scan_all_queries(spark, duck, monkeypatch):
+    """More queries than one block of the scan."""
+    monkeypatch.setattr(search, "SCAN_QUERIES", 7)
+    ours = registry.QUERIES["filter_modes"](spark, SF).toPandas()
+    assert len(ours) > 7 and rows(ours) == rows(duck.execute(registry.ORACLE_SQL["filter_modes"]).fetchdf())
+
+
+def test_slice_command_slices(spark, tmp_path, monkeypatch):
+    ran = []
+    monkeypatch.setitem(registry.QUERIES, "dataset_slice", lambda spark, d: ran.append(d) or spark.range(1))
+    assert cli.main(["slice", "--sf-dir", SF, "--out", str(tmp_path)]) == 0
+    assert ran == [SF] and (tmp_path / "dataset_slice").exists()
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     """1200 vectors of 8 clusters with skewed tags, and queries next to rows with one or two of a row's tags."""
