@@ -18,19 +18,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a temporary one on a single machine (tests), else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Frees a query's shuffle files as soon as it ends, rather than when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends here, sizes are known to the planner."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once to the shared folder and read back: lineage ends here, sizes are known to the planner. Shuffle files of the write go with it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by `table`. Only for those that no later plan reads: what is computed from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unit_hash(*cols) -> F.Column:

@@ -126,7 +126,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(s))) AS line, unnest(s) AS said FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
-w AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(said, '[^ 	-]+'))) AS t FROM l),
+w AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(said, '[^\x20\x09-\x0D]+'))) AS t FROM l),
 n AS (SELECT * FROM w WHERE len(t) > 0),
 c AS (SELECT t, len(t) AS n, min(struct_pack(d := doc_id, l := line)) AS first, row_number() OVER (ORDER BY t) AS id FROM n GROUP BY t),
 e AS (SELECT id, n, first, unnest(t) AS word FROM c),
