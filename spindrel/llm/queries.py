@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (toxicity.crc_fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(toxicity.crc_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ class Model:
         """One batch: forward, backward through words and characters, one step. Returns the loss."""
         p = self.p
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        distinct = sorted({w for x in windows for w in x}, key=len)
+        distinct = sorted({w for x in windows for w in x}, key=lambda w: (len(w), w))  # not in the order of a set, which differs between processes
         number = {w: i for i, w in enumerate(distinct)}
         states, (ids, flat, size, kept) = self.chars(distinct, keep=True)
         known = np.array([self.vocabulary.get(w, 0) for w in distinct])
@@ -234,7 +234,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: tup
     """A model from whole texts and their labels; rounds of `epochs`, windows chosen anew before each round."""
     rng = np.random.default_rng(seed)
     split, y = [words_of(t) for t in texts], np.array(labels, dtype=np.int64)
-    common = [w for w, n in Counter(w for x in split for w in set(x)).most_common(VOCABULARY) if n > 2]
+    counts = Counter(w for x in split for w in set(x))
+    common = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))[:VOCABULARY]
     p = {"embed": (rng.standard_normal((len(common) + 1, EMBED)) * 0.3).astype(np.float32), "char": (rng.standard_normal((512, CHAR)) * 0.5).astype(np.float32)}
     p |= gru.layer(rng, CHAR, CHAR_STATE, "cf") | gru.layer(rng, CHAR, CHAR_STATE, "cb")
     p |= gru.layer(rng, EMBED + 2 * CHAR_STATE, STATE, "wf") | gru.layer(rng, EMBED + 2 * CHAR_STATE, STATE, "wb")
@@ -293,8 +294,13 @@ def crc_fold(column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most `sample` labelled documents of each label among those not held out, the first by a hash of their ids."""
-    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"]).where(crc_fold(F.col("doc_id")) != 0)
+    """Train on at most `sample` labelled documents of each label among those not held out, the first by a hash of their ids.
+
+    Labels without an id or other than 0 and 1 are left out; an id with both counts as toxic. Null texts are trained on as empty ones. Equal
+    tables give equal models, in any process.
+    """
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_fold(F.col("doc_id")) != 0)
     first = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(first[0].union(first[1]))  # at most 2 * sample rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample)
