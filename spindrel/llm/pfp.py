@@ -22,6 +22,8 @@ from . import repeats
 WINDOW = 400
 #: Bytes of a phrase trigger, and one trigger in so many places on average.
 TRIGGER, EVERY = 8, 32
+#: Contexts of a shard: a parse holds some ten numbers of eight bytes for each byte, about 150 MB here.
+SHARD = 2_000
 
 _SYMBOLS = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8") | np.uint64(1)
 
@@ -124,7 +126,7 @@ def byte_codes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return _SYMBOLS[raw], raw
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, hot: int = repeats.HOT, shard: int = repeats.SHARD) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, hot: int = repeats.HOT, shard: int = SHARD) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, removed array<struct<start, stop>> in bytes, kept binary (the other bytes).
 
     A byte is removed if any string of `window` bytes that covers it starts at another place as well, in this or
