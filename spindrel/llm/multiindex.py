@@ -56,6 +56,8 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int)
 
 def search_shard(k: int, books: dict[int, tuple[np.ndarray, np.ndarray]], visit: float):
     def task(ids: np.ndarray, points: np.ndarray, asking: np.ndarray, queries: np.ndarray):
+        if points.shape[1] == 1:  # a zero besides makes two halves and changes no product
+            points, queries = np.pad(points, ((0, 0), (0, 1))), np.pad(queries, ((0, 0), (0, 1)))
         half = points.shape[1] // 2
         if points.shape[1] not in books:  # a length so rare that the sample has none of it: the shard's own rows serve
             books[points.shape[1]] = codebook(points[:SAMPLE, :half], CODES), codebook(points[:SAMPLE, half:], CODES)
@@ -91,13 +93,13 @@ def neighbours(vectors: DataFrame, every: int, k: int, visit: float = VISIT, cod
     Queries are the rows whose id is divisible by `every`; candidates every row of another id and the same length. `sample` bounds the
     rows that codebooks are fitted on (those with the smallest hashes of their ids); every row is indexed. Scores are
     exact. Ties go to the smaller id. Vectors that are null, empty, all zero or hold a null or a non-finite
-    component, vectors of one component, and rows without id, take no part. Repeated rows are candidates each for itself; as queries they
+    component, and rows without id, take no part. Repeated rows are candidates each for itself; as queries they
     count once. Recall against brute force on random vectors is in the README and a test. Other columns are not read.
     """
-    rows = shards.usable(vectors, id_col, vector_col, zero=False).where(F.size("v") > 1)
+    rows = shards.usable(vectors, id_col, vector_col, zero=False)
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"].tolist()
     books = {}
-    for dim in {len(v) for v in fitted}:
+    for dim in {len(v) for v in fitted} - {1}:
         part = np.array([v for v in fitted if len(v) == dim])
         books[dim] = codebook(part[:, : dim // 2], codes), codebook(part[:, dim // 2 :], codes)
     asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
