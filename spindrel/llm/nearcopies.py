@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_join, table
+from .common import drop, small_join, table
 from .graph import components
 from .simhash import links, majority, shingle_hashes
 
@@ -121,7 +121,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] =
     open_ = table(open_.join(apart, "key").join(nodes.select("node", "n", "bits"), "node"))
     one, two = (open_.select("key", F.col("node").alias(k), F.col("label").alias(f"l{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"x{k}")) for k in "ab")
     rest = one.join(two, "key").where("a < b AND la <> lb").where(may_match(similarity)).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    more = table(verified(table(rest), sets, similarity))
+    rest = table(rest)
+    more = table(verified(rest, sets, similarity))
     if not more.isEmpty():
         labels = components(edges.union(more))
+    drop(nodes, met, wanted, sets, near, own, edges, open_, rest, more)
     return marked.select("doc_id", "th", "node").join(labels, "node", "left").select("doc_id", "th", F.coalesce("label", "node").alias("label"))
