@@ -513,3 +513,74 @@ def test_pipeline(spark, tmp_path):
     assert max(copies.values()) <= 3 and set(copies) <= set(sizes)
     assert kept[5].where("start = 0").count() == sum(copies.values())
     assert kept[5].agg(F.sum("length")).first()[0] == sum(len(packing.Encoder()(sizes[i] or "")) * n + n for i, n in copies.items())
+
+
+def test_line_dedup_near_the_threshold(spark):
+    """Lines of 1 to 60 words and variants of them around a similarity of 0.8, all against all; copies of one line in great number, too."""
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(4000)]
+    lines = []
+    for _ in range(160):
+        base = list(dict.fromkeys(rng.choice(vocabulary) for _ in range(rng.randint(1, 60))))
+        lines.append(base)
+        for _ in range(rng.choice([1, 2, 3, 14])):
+            kept = [w for w in base if rng.random() > rng.choice([0.02, 0.1, 0.2])]
+            lines.append(kept + [rng.choice(vocabulary) for _ in range(rng.randint(0, max(1, len(base) // 6)))] or ["x"])
+    order = list(range(len(lines)))
+    rng.shuffle(order)
+    rows = [(i, "\n".join(" ".join(lines[j]) for j in order[at : at + 3]), "s") for i, at in enumerate(range(0, len(order), 3))]
+    flat = [((i, n), frozenset(s.split())) for i, t, _ in rows for n, s in enumerate(t.split("\n")) if s.split()]
+    want = {at for k, (at, s) in enumerate(flat) if any(len(s & o) * 9 >= (len(s) + len(o)) * 4 for _, o in flat[:k])}
+    got = {(r["doc_id"], n) for r in linededup.per_document(frame(spark, rows)).collect() for n in r["removed"]}
+    assert got == want and 100 < len(want) < len(flat) - 100
+
+
+def test_line_dedup_with_clashing_names(spark):
+    rows = [(1, "a b c d e\nf g", 1, 2, 3, 4, 5, 6, 7, 8, 9.5), (2, "f g\na b c d e", 1, 2, 3, 4, 5, 6, 7, 8, 9.5), (3, None, 1, 2, 3, 4, 5, 6, 7, 8, 9.5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_lines int, _id int, _gone int, _th int, d int, none int, `row` int, lines int, `a.b` double")
+    done = linededup.dedup(docs)
+    assert done.columns == [*docs.columns, "n_removed"] and done.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted(tuple(r) for r in done.collect()) == sorted([(*rows[0], 0), (2, "", *rows[1][2:], 2), (*rows[2], 0)])
+
+
+def test_training_does_not_depend_on_the_process():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import random
+from spindrel.llm import toxicity
+rng = random.Random(1)
+words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 6))) for _ in range(120)]
+texts = [" ".join([rng.choice(words) for _ in range(rng.randint(1, 60))] + ["zork"] * (i % 3 == 0)) for i in range(90)]
+model = toxicity.train(texts, [int(i % 3 == 0) for i in range(90)], epochs=(1, 1))
+print(repr(model.shift), [repr(float(x)) for x in model.score([t.split() for t in texts[:9]])])
+"""
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": str(seed), "OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True).stdout for seed in (0, 1)}
+    assert len(said) == 1
+
+
+def test_conflicting_labels_count_as_toxic(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.extend(zip(texts, labels, strict=True)))
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(1, 9) for y in ((0, 1) if i % 2 else (0,))] + [(2, None), (None, 1)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert sorted(seen) == sorted((f"t{i}", i % 2) for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_neighbours_of_vectors_of_one_component(spark):
+    rows = [(i, [float(i)]) for i in range(1, 41)] + [(41, [9.0, 9.0]), (42, [0.0])]
+    got = [tuple(r) for r in multiindex.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 40, 800.0), (20, 2, 39, 780.0), (40, 1, 39, 1560.0), (40, 2, 38, 1520.0)]
+
+
+def test_production_windows_on_the_test_data(spark):
+    """The operators of bytes and words at 400 and 35, on all documents of the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    for run, length, split in ((pfp.dedup, 400, lambda t: t), (fmindex.dedup, 35, lambda t: tuple(t.split()))):
+        want = brute_repeats([split(t) for _, t in texts], length)
+        got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in run(docs).collect()}
+        assert got == {i: spans for (i, _), spans in zip(texts, want, strict=True)} and any(want)
