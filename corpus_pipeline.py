@@ -19,11 +19,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. Null and empty texts score near 0 and stay; very long ones are scored whole, in chunks of windows.
+
+    Repeated rows score alike. Documents or labels without an id are scored, but not learned from. Empty tables: a constant model, no rows. Columns besides COLUMNS go.
+    """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where("toxicity < 0.5").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines with an equal or similar line before them go (order: doc_id with null first, text hash, line), then documents left without a word.
+
+    Null and empty texts have no lines and stay; very long ones are taken apart like any other. Repeated rows lose the same lines. n_chars of changed texts is counted anew.
+    Empty tables give no rows. Columns besides COLUMNS go.
+    """
     done = linededup.dedup(docs.select(*COLUMNS))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -31,7 +40,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group, the document with the smallest id stays, and of that id the one with the smallest text hash; null ids come last. Of repeated rows one stays."""
+    """Of a group, the document with the smallest id stays, and of that id the one with the smallest text hash; null ids come last. Of repeated rows one stays.
+
+    Texts without words, null ones too, are one group. Very long texts are hashed in blocks. Empty tables give no rows. Columns besides COLUMNS go.
+    """
     near = nearcopies.near_groups(docs.select("doc_id", "text"), shingle=5)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one")
     chosen = near.groupBy("label").agg(first).select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
@@ -50,6 +62,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its source's target asks for. Null sources are a source of their own.
+
+    Null and empty texts have no words: once for each complete epoch. A very long text may end a source further from its target, by half its size at most.
+    Repeated rows, of which the stage before leaves one, are taken alike. Empty tables give no rows. Columns besides COLUMNS go.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("th"))
     taken = mixing.mix(keyed, carry=("th",)).where("epochs > 0").groupBy("doc_id", "th").agg(F.max("epochs").alias("epochs"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "epochs")
@@ -58,6 +75,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece. Null and empty texts are packed as their end mark alone; very long ones are cut; repeated rows are packed each. Empty tables give no rows."""
     return packing.pack(docs)
 
 
