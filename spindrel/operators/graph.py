@@ -1,7 +1,7 @@
 """Neighbour graph: built from exact neighbours, searched by beams of a fixed number of rounds.
 
-The reference system's graphs are random-access structures; here edges are a table, and a round of the beam joins every query's
-frontier with its neighbours. Match sets no larger than the beam are scored exactly, as there.
+Edges are a table, not a random-access structure; a round of the beam joins every query's frontier with its neighbours. Match sets
+no larger than the beam are scored exactly.
 """
 
 from __future__ import annotations
