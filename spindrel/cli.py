@@ -21,7 +21,7 @@ def arguments(argv: list[str]) -> dict[str, str]:
 
 #: Commands and the registered queries that each one runs.
 COMMANDS = {
-    "stats": ["items_stats", "tag_histogram", "query_stats", "selectivity_bins"],
+    "stats": ["items_stats", "top_tags", "tag_histogram", "query_stats", "selectivity_bins"],
     "verify-gt": ["truth_check"],
     "build-ivf": ["kmeans_s4"],
     "build-pertag": ["s6_per_tag"],
@@ -30,6 +30,9 @@ COMMANDS = {
     "smoke": ["s0_topk", "s1_post_filter", "s4_label_ivf", "graph_s2"],
     "sweep": ["recall_by_config", "recall_summary", "pareto", "best_config"],
     "exp3": ["cost_fit", "planner_calibrate", "planner_lagrange", "oracle_choice", "misroutes"],
+    "build-index": ["quantised_vectors", "tag_cardinality"],
+    "exp4": ["engine_updates", "late_counters"],
+    "tombstones": ["tombstone_drift", "merge_recall"],
     "exp5": ["applier_final_state"],
     "exp7": ["range_estimates", "estimate_log_error"],
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrel.functions.predicates import Range
-from spindrel.operators import runner, search, stats
+from spindrel.operators import ivf, runner, search, stats
+from spindrel.operators.cut import cut
 from spindrel.operators.search import Corpus
 from spindrel.plans import planner
 from spindrel.streaming import applier
@@ -22,13 +23,15 @@ class Engine:
         self.models, self.specs, self.knob = models, planner.parse(specs), knob
         self.events: list[tuple] = []
         self.vectors: dict[int, list[int]] = {}
+        self.values: dict[int, dict[str, int]] = {}
 
     def _write(self, op: str, row: int, add: list[int] = (), remove: list[int] = ()) -> int:
         self.events.append((len(self.events) + 1, row, op, list(add), list(remove)))
         return len(self.events)
 
-    def upsert(self, row: int, vector: list[int], tags: list[int]) -> int:
-        self.vectors[row] = list(vector)
+    def upsert(self, row: int, vector: list[int], tags: list[int], **values: int) -> int:
+        """values: the row's range attributes; those not given are null and in no range."""
+        self.vectors[row], self.values[row] = list(vector), values
         return self._write("insert", row, tags)
 
     def delete(self, row: int) -> int:
@@ -38,7 +41,7 @@ class Engine:
         return self._write("set_attrs", row, add, remove)
 
     def corpus(self) -> Corpus:
-        """The snapshot with all events applied: only written rows are recomputed."""
+        """The snapshot with all events applied: only written rows are recomputed. New vectors go to the nearest cell, deleted rows leave theirs."""
         if not self.events:
             return Corpus(self.base, self.tags, self.attrs, **self.parts)
         events = self.spark.createDataFrame(self.events, _EVENT)
@@ -51,7 +54,28 @@ class Engine:
             items = applier.overlay(items, self.spark.createDataFrame(sorted(self.vectors.items()), "row long, u8 array<int>"))
         items = items.join(touched, "row", "left_anti").union(items.join(state.select("row"), "row", "left_semi"))
         tags = self.tags.join(touched, "row", "left_anti").union(state.select("row", F.explode("tags").alias("tag")))
-        return Corpus(items, tags, self.attrs, **self.parts)
+        parts, put = dict(self.parts), sorted(self.vectors)
+        written = F.broadcast(self.spark.createDataFrame([(r,) for r in put], "row long"))
+        if parts.get("cells") is not None:
+            new = ivf.assign(items.join(written, "row", "left_semi"), parts["centroids"])
+            gone = F.broadcast(state.select("row"))
+            stay = parts["cells"].join(written, "row", "left_anti")
+            stay = stay.join(touched, "row", "left_anti").unionByName(stay.join(gone, "row", "left_semi"))
+            parts["cells"] = stay.select("row", F.col("cell").cast("int").alias("cell")).unionByName(new)
+        attrs = self.attrs
+        if attrs is not None and put:
+            given = self.spark.createDataFrame([(r, *[self.values[r].get(c) for c in attrs.columns if c != "row"]) for r in put], "row long, " + ", ".join(f"`{c}` long" for c in attrs.columns if c != "row"))
+            attrs = attrs.join(written, "row", "left_anti").unionByName(given)
+        return Corpus(items, tags, attrs, **parts)
+
+    def compact(self) -> None:
+        """The writes so far become the snapshot; nothing of them is held on the driver or replayed any more."""
+        now = self.corpus()
+        self.base, self.tags = cut(now.items), cut(now.tags)
+        self.attrs = None if now.attrs is None else cut(now.attrs)
+        if now.cells is not None:
+            self.parts["cells"] = cut(now.cells)
+        self.events, self.vectors, self.values = [], {}, {}
 
     def _query(self, vector: list[int], tags: list[int]) -> DataFrame:
         return self.spark.createDataFrame([(0, list(vector), list(tags))], "qid long, qv array<int>, qtags array<long>")

@@ -30,6 +30,25 @@ def summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.rollup("bin", "ntags").agg(F.count(F.lit(1)).alias("queries"), (F.sum("hits") / F.sum("possible")).alias("recall"), F.sum("scored").alias("scored"))
 
 
+def latencies(timed: DataFrame, *by: str, column: str = "ms", digits: int = 3) -> DataFrame:
+    """Count, mean, p50, p90, p99, p999 and maximum of a column, rounded to `digits`: percentiles as the value that so many rows do not exceed.
+
+    Values are counted first, so that a percentile sorts distinct values only; nulls are left out.
+    """
+    value = F.round(F.col(column).cast("double"), digits).alias("v")
+    counted = timed.where(F.col(column).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    over = Window.partitionBy(*by)
+    counted = counted.withColumn("upto", F.sum("c").over(over.orderBy("v"))).withColumn("n", F.sum("c").over(over))
+    at = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+    picked = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("v"))).alias(name) for name, share in at.items()]
+    return counted.groupBy(*by).agg(F.sum("c").alias("count"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), *picked, F.max("v").alias("most"))
+
+
+def rate(queries: int, seconds: float) -> float:
+    """Queries a second of a batch."""
+    return queries / seconds if seconds > 0 else float("inf")
+
+
 def weighted(per_bin: DataFrame, weights: DataFrame) -> DataFrame:
     """Recall of a population: per_bin (bin, recall), weights (bin, w)."""
     joined = per_bin.join(weights, "bin")

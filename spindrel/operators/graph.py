@@ -19,8 +19,11 @@ def build(items: DataFrame, degree: int) -> DataFrame:
     return near.union(near.select(F.col("near").alias("row"), F.col("row").alias("near"))).distinct()
 
 
-def beam(corpus: Corpus, queries: DataFrame, k: int, width: int, two_hop: bool, rounds: int = 4, entries: int = 16) -> DataFrame:
-    """corpus.extra['edges'] from `build`; entry points are a few of each query's matches, by hash, so that every frontier holds matches only."""
+def beam(corpus: Corpus, queries: DataFrame, k: int, width: int, threshold: int, rounds: int = 4, entries: int = 16) -> DataFrame:
+    """corpus.extra['edges'] from `build`; entry points are a few of each query's matches, by hash, so that every frontier holds matches only.
+
+    Queries whose predicate passes less than `threshold` percent of the live rows expand through neighbours that fail it to those of theirs that pass.
+    """
     edges = corpus.extra["edges"]
     passing = matching(corpus, queries)
     sizes = passing.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
@@ -29,11 +32,14 @@ def beam(corpus: Corpus, queries: DataFrame, k: int, width: int, two_hop: bool,
     exact = best(scored(corpus, queries, small), k)
     seeds = best(large.select("qid", "row", F.xxhash64("row", "qid").alias("dist")), max(entries, width // 4)).select("qid", "row")
     seen = cut(scored(corpus, queries, seeds))
+    sparse = None
+    if threshold > 0:
+        sparse = cut(sizes.where(F.col("n") * 100 < threshold * corpus.items.count()).select("qid"))
     for _ in range(rounds):
         front = best(seen, width).select("qid", "row")
         step = front.join(edges, "row").select("qid", F.col("near").alias("row"))
-        if two_hop:
-            step = step.union(step.join(edges, "row").select("qid", F.col("near").alias("row")))
+        if sparse is not None:
+            step = step.union(step.join(sparse, "qid", "left_semi").join(edges, "row").select("qid", F.col("near").alias("row")))
         new = step.distinct().join(large, ["qid", "row"], "left_semi").join(seen.select("qid", "row"), ["qid", "row"], "left_anti")
         seen = cut(best(seen.union(scored(corpus, queries, new)), width).select("qid", "row", "dist"))
     return exact.union(best(seen, k))

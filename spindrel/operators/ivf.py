@@ -37,7 +37,7 @@ def near(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> tuple[np.ndarray, list[float]]:
-    """Centres and the inertia before each round; an empty cell takes half of the largest one, nudged by a part in 1024."""
+    """Centres and the inertia before each round; an empty cell takes half of the largest one, nudged by a part in 1024, up and down by component."""
     centres, inertia = seeded(points, min(k, len(points)), seed).astype(np.float64), []
     for _ in range(rounds):
         at = near(points, centres)
@@ -47,8 +47,8 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> tupl
         centres[sizes > 0] = sums[sizes > 0] / sizes[sizes > 0, None]
         for empty in np.flatnonzero(sizes == 0):
             big = sizes.argmax()
-            centres[empty] = centres[big] * (1 + 1 / 1024)
-            centres[big] = centres[big] * (1 - 1 / 1024)
+            nudge = np.where(np.arange(centres.shape[1]) % 2 == 0, 1, -1) / 1024
+            centres[empty], centres[big] = centres[big] * (1 + nudge), centres[big] * (1 - nudge)
             sizes[empty] = sizes[big] = sizes[big] // 2
     return centres, inertia
 

@@ -23,8 +23,10 @@ def strategy(corpus: Corpus, queries: DataFrame, k: int, name: str, params: dict
         return search.s1(corpus, queries, k, budget, stats.match_counts(corpus, queries), corpus.items.count())
     if name == "S2":
         return search.s2(corpus, queries, k, budget)
-    if name in ("S3", "S5"):  # S5 is S3 over a denser graph
+    if name == "S3":
         return search.s3(corpus, queries, k, budget)
+    if name == "S5":  # corpus.extra['edges'] of a larger degree
+        return search.s5(corpus, queries, k, budget)
     if name == "S4":
         return search.s4(corpus, queries, k, budget.nprobe)
     if name == "S4L":

@@ -73,8 +73,16 @@ def scored(corpus: Corpus, queries: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def s0(corpus: Corpus, queries: DataFrame, k: int, ranges: tuple[Range, ...] = ()) -> DataFrame:
-    """Pre-filter and score every match: exact."""
-    return best(scored(corpus, queries, matching(corpus, queries, ranges)), k)
+    """Pre-filter and score every match: exact. Queries without tags are scanned in blocks, not paired with every row first."""
+    untagged = F.coalesce(F.size("qtags"), F.lit(0)) <= 0
+    free = queries.where(untagged)
+    if free.isEmpty():
+        return best(scored(corpus, queries, matching(corpus, queries, ranges)), k)
+    items = corpus.items
+    if ranges:
+        items = items.join(corpus.attrs.where(in_ranges(ranges)).select("row"), "row", "left_semi")
+    tagged = queries.where(~untagged)
+    return best(scored(corpus, tagged, matching(corpus, tagged, ranges)), k).unionByName(scan(items, free, k))
 
 
 def scan(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -154,10 +162,13 @@ def s4(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, ranges: tuple[Ra
     return best(scored(corpus, queries, inside.select("qid", "row")), k)
 
 
-def s4_filter(corpus: Corpus, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """The same cells as a plain filter: members of the probed cells first, then tags on the nested column."""
+def s4_filter(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, ranges: tuple[Range, ...] = ()) -> DataFrame:
+    """The same cells as a plain filter: members of the probed cells first, then ranges, then tags on the nested column."""
     nested = corpus.tags.groupBy("row").agg(F.collect_set("tag").alias("tags"))  # a row's own tags: bounded
-    members = probes(corpus, queries, nprobe).join(corpus.cells, "cell").join(queries.select("qid", "qtags"), "qid").join(nested, "row")
+    members = corpus.cells
+    if ranges:
+        members = members.join(corpus.attrs.where(in_ranges(ranges)).select("row"), "row", "left_semi")
+    members = probes(corpus, queries, nprobe).join(members, "cell").join(queries.select("qid", "qtags"), "qid").join(nested, "row")
     return best(scored(corpus, queries, members.where(has_all("tags", "qtags")).select("qid", "row")), k)
 
 
@@ -183,18 +194,24 @@ def s6(corpus: Corpus, queries: DataFrame, k: int, tag_cells: DataFrame, tag_cen
     return best(scored(corpus, led, inside.join(visited, ["qid", "cell"]).select("qid", "row")), k).union(rest)
 
 
-def s2(corpus: Corpus, queries: DataFrame, k: int, budget: Budget) -> DataFrame:
-    """Filtered search of the neighbour graph, see `graph.beam`; match sets of at most max(k, ef) rows are scored exactly instead."""
+def s2(corpus: Corpus, queries: DataFrame, k: int, budget: Budget, threshold: int = 0) -> DataFrame:
+    """Filtered search of the neighbour graph, see `graph.beam`; match sets of at most max(k, ef) rows are scored exactly instead.
+
+    budget.threshold, or `threshold` where that is 0: predicates that pass a smaller percentage of the rows also expand two hops.
+    """
     from spindrel.operators.graph import beam
 
-    return beam(corpus, queries, k, max(k, budget.ef), two_hop=False)
+    return beam(corpus, queries, k, max(k, budget.ef), budget.threshold if budget.threshold > 0 else threshold)
 
 
 def s3(corpus: Corpus, queries: DataFrame, k: int, budget: Budget) -> DataFrame:
-    """As s2, expanding through neighbours that fail the predicate to those of theirs that pass."""
-    from spindrel.operators.graph import beam
+    """s2 with a threshold of 60 percent if the budget names none."""
+    return s2(corpus, queries, k, budget, threshold=60)
+
 
-    return beam(corpus, queries, k, max(k, budget.ef), two_hop=True)
+def s5(corpus: Corpus, queries: DataFrame, k: int, budget: Budget) -> DataFrame:
+    """s2 over a denser graph, with a threshold of 100 percent if the budget names none."""
+    return s2(corpus, queries, k, budget, threshold=100)
 
 
 def two_way(corpus: Corpus, queries: DataFrame, k: int, mt: float, nprobe: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spindrel.operators.cut import cut
 from spindrel.functions.predicates import Range, decade, in_ranges, selectivity_bin
 from spindrel.operators.search import Corpus, matching
 
@@ -38,11 +39,34 @@ def bins(corpus: Corpus, queries: DataFrame) -> DataFrame:
 
 
 def pick(values: DataFrame, column: str, shares: dict[str, float], group: str | None = None) -> DataFrame:
-    """Index-pick quantiles: the value at position trunc(share * (n - 1)) in order."""
-    over = Window.partitionBy(*([group] if group else []))
+    """Index-pick quantiles: the value at position trunc(share * (n - 1)) in order; over all rows, by ranges of the value, so that no task sorts them all."""
+    if group is None:
+        return _pick_all(values.select(column), column, shares)
+    over = Window.partitionBy(group)
     ranked = values.withColumn("_i", F.row_number().over(over.orderBy(column)) - 1).withColumn("_n", F.count(F.lit(1)).over(over))
     picked = [F.max(F.when(F.col("_i") == F.floor(F.lit(s) * (F.col("_n") - 1)), F.col(column))).alias(name) for name, s in shares.items()]
-    return (ranked.groupBy(group) if group else ranked.groupBy()).agg(*picked)
+    return ranked.groupBy(group).agg(*picked)
+
+
+def _pick_all(values: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    spark = values.sparkSession
+    ranged = cut(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))  # written once: the ranges come from a sample
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_part").count().collect())  # a row for each partition
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    before = F.broadcast(spark.createDataFrame(starts, "_part int, _before long"))
+    at = {name: int(s * (total - 1)) for name, s in shares.items()} if total else {}
+    wanted = [next((p for p, start in reversed(starts) if start <= i), -1) for i in at.values()]
+    order = Window.partitionBy("_part").orderBy(column)
+    ranked = ranged.where(F.col("_part").isin(wanted)).withColumn("_i", F.row_number().over(order) - 1).join(before, "_part")
+    return ranked.agg(*[F.max(F.when(F.col("_before") + F.col("_i") == at.get(name, -1), F.col(column))).alias(name) for name in shares])
+
+
+def top_tags(tags: DataFrame, n: int = 20) -> DataFrame:
+    """(tag, card) of the n most frequent tags, ties to the smaller tag."""
+    return cardinality(tags).orderBy(F.col("card").desc(), "tag").limit(n)
 
 
 def item_stats(items: DataFrame, tags: DataFrame) -> DataFrame:
@@ -104,8 +128,11 @@ def stratified(corpus: Corpus, queries: DataFrame, per_bin: int, seed: int = 42)
     return selectivity(corpus, queries).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= per_bin).select("qid", "bin")
 
 
-def pick_queries(queries: DataFrame, step: int, limit: int) -> DataFrame:
-    """Every step-th query in order of qid, `limit` at most."""
+def pick_queries(queries: DataFrame, step: int, limit: int, truth: DataFrame | None = None) -> DataFrame:
+    """Every step-th query in order of qid, `limit` at most; with a truth, only of the queries that have rows in it."""
+    if truth is not None:
+        queries = queries.join(truth.select("qid"), "qid", "left_semi")
+    queries = queries.orderBy("qid").limit(step * limit)  # each task keeps as many at most, and so does the window's
     return queries.withColumn("_i", F.row_number().over(Window.orderBy("qid")) - 1).where((F.col("_i") % step == 0) & (F.col("_i") < step * limit)).drop("_i")
 
 

@@ -112,3 +112,20 @@ def misroutes(choices: DataFrame, observations: DataFrame, best: DataFrame) -> D
     both = took.join(best.select("qid", F.col("config").alias("oracle"), F.col("scored").alias("least")), "qid")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return both.agg(F.count(F.lit(1)).alias("queries"), one(F.col("config") != F.col("oracle")).alias("differs"), one(F.col("scored") > 2 * F.col("least")).alias("over_twice"), one(F.col("hits") < F.lit(0.9) * F.col("possible")).alias("below"))
+
+
+def save(models: DataFrame, path: str) -> None:
+    """Fitted models as JSON; bins of too few queries keep their nulls."""
+    models.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """Models that `save` wrote; NaN counts as null."""
+    read = spark.read.schema("config string, ntags int, bin int, center double, lat double, rec double, n long").json(path)
+    return read.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("lat", "rec")})
+
+
+def plan_log(choices: DataFrame, observations: DataFrame) -> DataFrame:
+    """(config, queries, predicted_cost, cost, predicted_recall, recall): what was chosen how often, and what came of it."""
+    took = choices.join(observations.select("qid", "config", "hits", "possible", "scored"), ["qid", "config"])
+    return took.groupBy("config").agg(F.count(F.lit(1)).alias("queries"), F.avg("lat").alias("predicted_cost"), F.avg("scored").alias("cost"), F.avg("rec").alias("predicted_recall"), (F.sum("hits") / F.sum("possible")).alias("recall"))

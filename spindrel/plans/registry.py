@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrel.engine import Engine
 from spindrel.functions.predicates import Range
 from spindrel.functions.vectors import quantise
 from spindrel.operators import evaluate, graph, ivf, model, runner, search, stats
@@ -431,7 +432,7 @@ def graph_s3(spark, d):
 @register("graph_s5")
 def graph_s5(spark, d):
     corpus, queries = batch(spark, d)
-    return search.s3(Corpus(corpus.items, corpus.tags, extra={"edges": cut(graph.build(corpus.items, 32))}), queries, K, Budget(ef=32))
+    return search.s5(Corpus(corpus.items, corpus.tags, extra={"edges": cut(graph.build(corpus.items, 32))}), queries, K, Budget(ef=32))
 
 
 @register("quantised_vectors", "SELECT row, CAST(list_sum(u8) AS BIGINT) AS total, CAST(list_min(u8) AS INTEGER) AS least, CAST(list_max(u8) AS INTEGER) AS most FROM items")
@@ -478,3 +479,126 @@ def event_counters(spark, d):
     """Counters of a stream in which every tenth event comes twice."""
     events = model.catalog_events(spark, d).select("seq", "id", "op")
     return workload.counters(events.union(events.where("seq % 10 = 0")))
+
+
+_S0 = "SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row) AS INTEGER) AS rk, row, dist FROM scored) WHERE rk <= 10"
+
+
+@register("kmeans_all_cells", _S0)
+def kmeans_all_cells(spark, d):
+    """Trained cells, all of them probed: every row must be in exactly one, so the result is that of s0."""
+    corpus, queries = batch(spark, d)
+    centroids = cut(ivf.train(corpus.items, 16))
+    return search.s4(Corpus(corpus.items, corpus.tags, corpus.attrs, ivf.assign(corpus.items, centroids), centroids), queries, K, 16)
+
+
+@register("s6_all_cells", _S0)
+def s6_all_cells(spark, d):
+    """Per-tag files with room for every match: the result is that of s0."""
+    corpus, queries = batch(spark, d)
+    cells, centroids = ivf.per_tag(corpus.items, corpus.tags, min_count=20, per_cell=16, max_cells=64)
+    return search.s6(corpus, queries, K, cut(cells), centroids, ef=1 << 40, small=30)
+
+
+@register("graph_recall", """SELECT s AS strategy, count(*) AS queries, CAST(sum(n) AS BIGINT) AS possible, true AS enough
+FROM (SELECT qid, least(count(*), 10) AS n FROM scored GROUP BY qid), (SELECT unnest(['S2', 'S3', 'S5']) AS s) GROUP BY s""")
+def graph_recall(spark, d):
+    """Whether S2, S3 and S5 find at least 0.9 of what s0 finds."""
+    corpus, queries = batch(spark, d)
+    truth = cut(search.s0(corpus, queries, K + 2))
+    parts = []
+    for name, degree in (("S2", 16), ("S3", 16), ("S5", 32)):
+        held = Corpus(corpus.items, corpus.tags, extra={"edges": cut(graph.build(corpus.items, degree))})
+        found = evaluate.recall(evaluate.hits(runner.strategy(held, queries, K, name, {"ef": "32"}), truth, K))
+        parts.append(found.select(F.lit(name).alias("strategy"), "queries", "possible", (F.col("recall") >= 0.9).alias("enough")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@register("s4l_range", _S4.format(f" JOIN attrs a ON a.row = s.row WHERE {IN_RANGES}"), CELLS, ATTRS)
+def s4l_range(spark, d):
+    return search.s4_filter(*batch(spark, d), K, 3, RANGES)
+
+
+@register("s0_untagged", f"""SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row) AS INTEGER) AS rk, row, dist FROM (
+  SELECT q.qid, i.row, CAST(list_sum(list_transform(list_zip(i.u8, q.qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS dist FROM queries q, items i JOIN attrs a ON a.row = i.row WHERE q.qid % 20 = 0 AND {IN_RANGES}
+  UNION ALL SELECT s.qid, s.row, s.dist FROM scored s JOIN attrs a ON a.row = s.row WHERE s.qid % 20 <> 0 AND {IN_RANGES})) WHERE rk <= 10""", ATTRS)
+def s0_untagged(spark, d):
+    """Ranges alone for half of the queries, tags and ranges for the rest."""
+    corpus, queries = batch(spark, d)
+    return search.s0(corpus, queries.withColumn("qtags", F.when(F.col("qid") % 20 == 0, F.array().cast("array<bigint>")).otherwise(F.col("qtags"))), K, RANGES)
+
+
+@register("top_tags", "SELECT tag, card FROM cards ORDER BY card DESC, tag LIMIT 20", _CARDS)
+def top_tags(spark, d):
+    return stats.top_tags(model.item_tags(spark, d))
+
+
+@register("query_pick_valid", "SELECT qid FROM (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i FROM (SELECT DISTINCT qid FROM matching)) WHERE i % 3 = 0 AND i < 3 * 12")
+def query_pick_valid(spark, d):
+    corpus, queries = batch(spark, d)
+    return stats.pick_queries(queries, 3, 12, search.matching(corpus, queries)).select("qid")
+
+
+@register("scored_latency", """, t AS (SELECT round(CAST(dist AS DOUBLE) / 1000, 3) AS v FROM scored), o AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM t)
+SELECT count(*) AS count, round(avg(v), 6) AS mean, min(v) FILTER (i >= ceil(n * 0.5::DOUBLE)) AS p50, min(v) FILTER (i >= ceil(n * 0.9::DOUBLE)) AS p90, min(v) FILTER (i >= ceil(n * 0.99::DOUBLE)) AS p99,
+  min(v) FILTER (i >= ceil(n * 0.999::DOUBLE)) AS p999, max(v) AS most FROM o""")
+def scored_latency(spark, d):
+    """The summary of latencies, over distances in thousands in place of milliseconds, which no two runs share."""
+    corpus, queries = batch(spark, d)
+    timed = search.scored(corpus, queries, search.matching(corpus, queries)).select((F.col("dist") / 1000).alias("ms"))
+    return evaluate.latencies(timed).withColumn("mean", F.round("mean", 6))
+
+
+@register("plan_log", """SELECT config, count(*) AS queries, round(avg(c.lat), 6) AS predicted_cost, round(avg(o.scored), 6) AS cost, round(avg(c.rec), 9) AS predicted_recall, round(sum(hits) / CAST(sum(possible) AS DOUBLE), 9) AS recall
+FROM chosen c JOIN obs o USING (qid, config) GROUP BY config""", CELLS, COUNTS, OBS, MODELS, _LAGRANGE)
+def plan_log(spark, d):
+    _, _, found, expected = predicted(spark, d)
+    log = planner.plan_log(planner.lagrange(expected, KNOB), found)
+    return log.select("config", "queries", *[F.round(c, n).alias(c) for c, n in (("predicted_cost", 6), ("cost", 6), ("predicted_recall", 9), ("recall", 9))])
+
+
+@register("late_counters", """, e AS (SELECT event_id + 1 AS seq, user_id AS id, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'set_attrs' END AS op FROM events),
+o AS (SELECT op, seq, seq > coalesce(max(seq) OVER (PARTITION BY id ORDER BY (seq * 7919) % 1000003 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM e)
+SELECT op, count(*) FILTER (done) AS applied, count(*) FILTER (NOT done) AS skipped, max(seq) AS last_seq FROM o GROUP BY op""")
+def late_counters(spark, d):
+    """Counters of a stream that arrives out of order."""
+    events = model.catalog_events(spark, d).select("seq", "id", "op")
+    return workload.counters(events.withColumn("at", (F.col("seq") * 7919) % 1_000_003), "at")
+
+
+@register("merge_recall", """, live AS (SELECT row, u8, label FROM items WHERE (row * 7919) % 100 >= 60),
+means2 AS (SELECT label AS cell, i, CAST(sum(x) AS DOUBLE) / count(*) AS m FROM (SELECT label, unnest(u8) AS x, unnest(range(len(u8))) AS i FROM live) GROUP BY label, i),
+cents2 AS (SELECT cell, list(m ORDER BY i) AS c FROM means2 GROUP BY cell),
+cd2 AS (SELECT qid, cell, list_sum(list_transform(list_zip(qv, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS cdist FROM queries, cents2),
+p2 AS (SELECT qid, cell, row_number() OVER (PARTITION BY qid ORDER BY cdist, cell) AS ord FROM cd2),
+t AS (SELECT s.qid, s.row, row_number() OVER (PARTITION BY s.qid ORDER BY s.dist, s.row) AS rk FROM scored s JOIN live l ON l.row = s.row),
+v AS (SELECT s.qid, s.row, row_number() OVER (PARTITION BY s.qid ORDER BY s.dist, s.row) AS rk FROM scored s JOIN live l ON l.row = s.row JOIN p2 ON p2.qid = s.qid AND p2.cell = l.label AND p2.ord <= 2),
+h AS (SELECT t.qid, count(*) AS possible, count(v.row) AS hits FROM t LEFT JOIN v ON v.qid = t.qid AND v.row = t.row AND v.rk <= 10 WHERE t.rk <= 10 GROUP BY t.qid)
+SELECT count(*) AS queries, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(possible) AS BIGINT) AS possible, sum(hits) / CAST(sum(possible) AS DOUBLE) AS recall FROM h""")
+def merge_recall(spark, d):
+    return workload.merge_recall(*batch(spark, d), K, 2, 60)
+
+
+@register("engine_updates", """, w AS (SELECT 10 * j AS r FROM range(20) t(j)),
+put AS (SELECT r + 5 AS row FROM w UNION ALL SELECT n.n + j FROM range(5) t(j), n),
+items2 AS (SELECT row, u8 FROM items WHERE row NOT IN (SELECT r + 1 FROM w) AND row NOT IN (SELECT row FROM put)
+  UNION ALL SELECT row, list_transform(range(64), lambda i: (row * 31 + i * 7) % 256) FROM put),
+tags2 AS (SELECT DISTINCT row, tag FROM (
+  SELECT row, tag FROM item_tags WHERE row NOT IN (SELECT r + 1 FROM w) AND row NOT IN (SELECT row FROM put) AND NOT (tag = 10 AND row IN (SELECT r + 7 FROM w))
+  UNION ALL SELECT r + 7, 12 FROM w
+  UNION ALL SELECT row, unnest([row % 10, 11]) FROM put)),
+m2 AS (SELECT qid, row FROM asked JOIN tags2 USING (tag) GROUP BY qid, row HAVING count(*) = any_value(nt)),
+s2 AS (SELECT m.qid, m.row, CAST(list_sum(list_transform(list_zip(i.u8, q.qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS dist FROM m2 m JOIN items2 i ON i.row = m.row JOIN queries q ON q.qid = m.qid)
+SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row) AS INTEGER) AS rk, row, dist FROM s2) WHERE rk <= 10""")
+def engine_updates(spark, d):
+    """The inverted file over all cells after deletes, upserts, new rows and attribute changes, half of them compacted: what s0 finds."""
+    corpus, queries = batch(spark, d)
+    n, length = corpus.items.count(), len(corpus.items.first()["u8"])
+    engine = Engine(spark, corpus.items, corpus.tags, corpus.attrs, cells=corpus.cells, centroids=corpus.centroids)
+    for r in [10 * j + 5 for j in range(20)] + [n + j for j in range(5)]:
+        engine.upsert(r, [(r * 31 + i * 7) % 256 for i in range(length)], [r % 10, 11])
+    engine.compact()
+    for j in range(20):
+        engine.delete(10 * j + 1)
+        engine.set_attrs(10 * j + 7, [12], [10])
+    return search.s4(engine.corpus(), queries, K, 1 << 20)

@@ -73,7 +73,8 @@ def final_state(events: DataFrame, seed: DataFrame | None = None) -> DataFrame:
 
     An id's last insert or delete resets it; the attribute events after that decide tag by tag, the last one per tag.
     """
-    events = events.dropDuplicates(["id", "seq"])
+    one = F.min(F.struct("op", F.coalesce("add_tags", F.array().cast("array<bigint>")).alias("add_tags"), F.coalesce("remove_tags", F.array().cast("array<bigint>")).alias("remove_tags"))).alias("e")
+    events = events.groupBy("id", "seq").agg(one).select("id", "seq", "e.*")  # of different events of one seq the smallest, in every run
     if seed is not None:
         none = F.array().cast("array<bigint>")
         events = events.select("id", "seq", "op", "add_tags", "remove_tags").union(seed.select("id", F.lit(0).cast("long"), F.lit("insert"), F.col("tags").cast("array<bigint>"), none))
@@ -91,9 +92,19 @@ def final_state(events: DataFrame, seed: DataFrame | None = None) -> DataFrame:
 
 
 def lag(events: DataFrame, applied_at) -> DataFrame:
-    """Milliseconds from production to application, at least 0, by op: events, median, 99th percentile and maximum."""
+    """Milliseconds from production to application, at least 0, by op: events, median, 90th, 99th and 99.9th percentile and maximum."""
     ms = F.greatest(F.lit(0), (F.unix_micros(applied_at) - F.unix_micros("produced_at")) / 1000)
-    return events.withColumn("ms", ms).groupBy("op").agg(F.count(F.lit(1)).alias("events"), F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.99).alias("p99"), F.max("ms").alias("most"))
+    return events.withColumn("ms", ms).groupBy("op").agg(F.count(F.lit(1)).alias("events"), F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.9).alias("p90"), F.percentile("ms", 0.99).alias("p99"), F.percentile("ms", 0.999).alias("p999"), F.max("ms").alias("most"))
+
+
+def visibility(states: DataFrame, events: DataFrame, committed: DataFrame) -> DataFrame:
+    """(batch, events, p50, p99, most): milliseconds until written events could be read. committed: (batch, visible_at), when a batch's states were in place.
+
+    states: what `run` wrote, (id, version, batch, ...); an event is visible with the first batch whose state of its id is at its seq or above.
+    """
+    first = events.join(states.select("id", "version", "batch"), "id").where("version >= seq").groupBy("id", "seq").agg(F.min("batch").alias("batch"), F.min("produced_at").alias("produced_at"))
+    ms = F.greatest(F.lit(0), (F.unix_micros("visible_at") - F.unix_micros("produced_at")) / 1000)
+    return first.join(committed, "batch").withColumn("ms", ms).groupBy("batch").agg(F.count(F.lit(1)).alias("events"), F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.99).alias("p99"), F.max("ms").alias("most"))
 
 
 def run(events: DataFrame, path: str, checkpoint: str, seed: DataFrame | None = None, after: Callable[[DataFrame, int], None] | None = None):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrel.operators import search
+from spindrel.operators import ivf, search
 from spindrel.operators.evaluate import hits, recall
 from spindrel.operators.search import Corpus
 
@@ -26,14 +26,15 @@ def constructed(spark: SparkSession, rows: int, seconds: int, rates: dict[str, i
     parts = []
     for op, rate in rates.items():
         i = F.col("id")
-        events = spark.range(rate * seconds)
+        events = spark.range(rate * seconds).select("id", F.expr(f"id * 1000000 div {rate}").alias("due_us"))
         id_ = {"insert": i + rows, "delete": (i * 7919) % rows, "set_attrs": (i * 104_729 + 13) % rows}[op]
         add = F.when(F.lit(op == "insert"), F.array(i % 1000)).when(F.lit(op == "set_attrs") & (i % 2 == 0), F.array(i % 1000)).otherwise(none)
         remove = F.when(F.lit(op == "set_attrs") & (i % 2 == 1), F.array(id_ % 10)).otherwise(none)
-        parts.append(events.select(F.floor(i * 1_000_000 / rate).alias("due_us"), F.lit(op).alias("op"), id_.alias("id"), add.alias("add_tags"), remove.alias("remove_tags"), F.lit(ORDER[op]).alias("_o"), i.alias("_i")))
-    merged = reduce(DataFrame.unionByName, parts)
-    # one stretch of time at a time would do for a longer workload; here the whole of it is numbered in one order
-    return merged.withColumn("seq", F.row_number().over(Window.orderBy("due_us", "_o", "_i")).cast("long")).select("seq", "due_us", "op", "id", "add_tags", "remove_tags")
+        # the paces are known, so an event's place among all is a sum: of each other stream, what is due before it
+        before = [F.least(F.lit(r * seconds), F.expr(f"((due_us + {int(ORDER[o] < ORDER[op])}) * {r} + 999999) div 1000000")) for o, r in rates.items() if o != op]
+        seq = reduce(lambda x, y: x + y, before, i + 1).cast("long")
+        parts.append(events.select(seq.alias("seq"), "due_us", F.lit(op).alias("op"), id_.alias("id"), add.alias("add_tags"), remove.alias("remove_tags")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def paced(spark: SparkSession, rate: int) -> DataFrame:
@@ -41,10 +42,24 @@ def paced(spark: SparkSession, rate: int) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rate).load().select(F.col("value").alias("i"), F.col("timestamp").alias("due"))
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """(op, applied, skipped, last_seq) of events in order of seq per id: a repeated seq is skipped."""
-    seen = events.withColumn("_i", F.row_number().over(Window.partitionBy("id", "seq").orderBy("op")))
-    return seen.groupBy("op").agg(F.sum(F.when(F.col("_i") == 1, 1).otherwise(0)).alias("applied"), F.sum(F.when(F.col("_i") > 1, 1).otherwise(0)).alias("skipped"), F.max("seq").alias("last_seq"))
+def counters(events: DataFrame, arrival: str | None = None) -> DataFrame:
+    """(op, applied, skipped, last_seq). In order of seq per id: a repeated seq is skipped. In order of the column `arrival`: one that is not above all before it is skipped."""
+    if arrival is None:
+        seen = events.withColumn("_done", F.row_number().over(Window.partitionBy("id", "seq").orderBy("op")) == 1)
+    else:
+        before = Window.partitionBy("id").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+        newest = F.max("seq").over(before)
+        seen = events.withColumn("_done", newest.isNull() | (F.col("seq") > newest))
+    done = F.col("_done")
+    return seen.groupBy("op").agg(F.sum(F.when(done, 1).otherwise(0)).alias("applied"), F.sum(F.when(done, 0).otherwise(1)).alias("skipped"), F.max("seq").alias("last_seq"))
+
+
+def merge_recall(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, share: int) -> DataFrame:
+    """As `tombstone_drift` for one share, after the file is built anew (centroids as the means of the rows left in each cell)."""
+    live = corpus.items.where((F.col("row") * 7919) % 100 >= share)
+    held = live.select("row", "u8").join(corpus.cells, "row").withColumnRenamed("cell", "label")
+    cells, centroids = ivf.label_cells(held)
+    return checkpoint_recall(Corpus(corpus.items, corpus.tags, corpus.attrs, cells, centroids), live.select("row"), queries, k, nprobe)
 
 
 def checkpoint_recall(corpus: Corpus, live: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
