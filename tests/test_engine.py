@@ -201,3 +201,49 @@ def test_kmeans_properties():
     assert len(centres) == 9 and inertia[-1] <= inertia[0]
     same, _ = ivf.kmeans(np.ones((20, 4)), 3)
     assert len(same) == 3
+
+
+def test_models_are_saved_with_nulls(spark, tmp_path):
+    models = spark.createDataFrame([("S0", 1, 3, 0.875, 12.5, 1.0, 30), ("S4", 2, 4, 1.125, None, None, 2)], "config string, ntags int, bin int, center double, lat double, rec double, n long")
+    planner.save(models, str(tmp_path / "m"))
+    assert sorted(planner.load(spark, str(tmp_path / "m")).collect()) == sorted(models.collect())
+
+
+def test_quantiles_over_all_rows(spark):
+    from spindrel.operators import stats
+
+    values = [(i * 7919) % 101 for i in range(1000)]
+    got = stats.pick(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), "v", {"a": 0.0, "b": 0.37, "c": 1.0}).first()
+    inorder = sorted(values)
+    assert tuple(got) == (inorder[0], inorder[int(0.37 * 999)], inorder[-1])
+    assert tuple(stats.pick(spark.createDataFrame([], "v long"), "v", {"a": 0.5}).first()) == (None,)
+
+
+def test_latencies_and_late_events(spark):
+    from spindrel.operators import evaluate
+    from spindrel.streaming import workload
+
+    timed = spark.createDataFrame([(float(i),) for i in range(1, 1001)] + [(None,)], "ms double")
+    assert tuple(evaluate.latencies(timed).first()) == (1000, 500.5, 500.0, 900.0, 990.0, 999.0, 1000.0)
+    events = spark.createDataFrame([(1, 1, "insert", 1), (3, 1, "insert", 2), (2, 1, "insert", 3), (3, 1, "insert", 4)], "seq long, id long, op string, at long")
+    assert tuple(workload.counters(events, "at").first()) == ("insert", 2, 2, 3)
+
+
+def test_written_rows_are_found_through_cells(spark):
+    from spindrel.engine import Engine
+    from spindrel.functions.predicates import Range
+    from spindrel.operators import search
+
+    items = spark.createDataFrame([(i, [i % 256, 255 - i % 256], i % 4) for i in range(40)], "row long, u8 array<int>, label int")
+    cells, centroids = ivf.label_cells(items)
+    tags = spark.createDataFrame([(i, 1) for i in range(40)], "row long, tag long")
+    attrs = spark.createDataFrame([(i, i) for i in range(40)], "row long, age long")
+    engine = Engine(spark, items, tags, attrs, cells=cells, centroids=centroids)
+    engine.upsert(100, [3, 252], [1], age=1000)
+    engine.delete(3)
+    for _ in range(2):
+        query = engine._query([3, 252], [1])
+        found = [r["row"] for r in search.s4(engine.corpus(), query, 5, 4).orderBy("rk").collect()]
+        assert found == [r["row"] for r in search.s0(engine.corpus(), query, 5).orderBy("rk").collect()] and found[0] == 100 and 3 not in found
+        assert [r["row"] for r in engine.search([3, 252], [1], (Range("age", 900, 2000),)).collect()] == [100]
+        engine.compact()
