@@ -10,6 +10,7 @@ windows that look most toxic as well; looks come first from character n-gram sta
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
+from .common import give_back
 
 #: Words of a window and between the starts of two; characters of a word that are read together (longer words are cut into such pieces).
 WINDOW, STRIDE, PIECE = 24, 12, 24
@@ -28,6 +30,8 @@ SAMPLE, VOCABULARY = 1_200, 4_000
 EMBED, CHAR, CHAR_STATE, STATE = 8, 10, 12, 8
 #: Distinct words whose vectors a task keeps; documents whose words are scored together.
 CACHE, CHUNK_WORDS = 150_000, 150_000
+#: Windows whose word numbers are laid out together.
+BLOCK = 16_384
 EDGES = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -182,7 +186,7 @@ class Model:
             cache.clear()
         number = cache.setdefault("number", {})
         table = cache.setdefault("table", np.zeros((0, 6 * STATE), np.float32))
-        flat: list[int] = []
+        flat = array("q")
         fresh: list[str] = []
         for words in texts:
             for w in words:
@@ -193,8 +197,9 @@ class Model:
                 flat.append(i)
         if fresh:
             table = cache["table"] = np.concatenate([table, self.inputs(self.vectors(fresh))])
-        flat_ = np.array([*flat, *[0] * WINDOW], dtype=np.int64)
-        starts, stops, owner, base = [], [], [], 0
+        flat.extend([0] * WINDOW)
+        flat_ = np.frombuffer(flat, np.int64)
+        starts, stops, owner, base = array("q"), array("q"), array("q"), 0
         for i, words in enumerate(texts):
             for s, e in windows_of(len(words)):
                 starts.append(base + s)
@@ -203,11 +208,12 @@ class Model:
             base += len(words)
         worst = np.full(len(texts), float(self.p["out.b"][0]) - 20.0)
         if starts:
-            at = np.array(starts)[:, None] + np.arange(WINDOW)
-            mask = (at < np.array(stops)[:, None]).astype(np.float32)
-            logit = self.logits(table, flat_[np.minimum(at, len(flat_) - 1)] * (mask > 0), mask)
-            found = np.full(len(texts), -np.inf)
-            np.maximum.at(found, np.array(owner), logit)
+            first, last, found = np.frombuffer(starts, np.int64), np.frombuffer(stops, np.int64), np.full(len(texts), -np.inf)
+            for a in range(0, len(first), BLOCK):
+                at = first[a : a + BLOCK, None] + np.arange(WINDOW)
+                mask = (at < last[a : a + BLOCK, None]).astype(np.float32)
+                logit = self.logits(table, flat_[np.minimum(at, len(flat_) - 1)] * (mask > 0), mask)
+                np.maximum.at(found, np.frombuffer(owner, np.int64)[a : a + BLOCK], logit)
             worst = np.where(np.isfinite(found), found, worst)
         return worst
 
@@ -222,18 +228,25 @@ def grams(word: str) -> set[str]:
 
 
 def evidence(texts: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Log odds of character n-grams between toxic and clean documents, for those that enough toxic ones hold."""
-    held = {0: Counter(), 1: Counter()}
-    for words, y in zip(texts, labels.tolist(), strict=True):
-        held[y].update({g for w in set(words) for g in grams(w)})
+    """Log odds of character n-grams between toxic and clean documents, for those that enough toxic ones hold; only these are counted in clean ones."""
     toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    return {g: float(np.log((n / toxic + 1e-4) / (held[0][g] / clean + 1e-3))) for g, n in held[1].items() if n >= max(3, toxic // 100)}
+    held: Counter = Counter()
+    for words, y in zip(texts, labels.tolist(), strict=True):
+        if y:
+            held.update({g for w in set(words) for g in grams(w)})
+    held = Counter({g: n for g, n in held.items() if n >= max(3, toxic // 100)})
+    other: Counter = Counter()
+    for words, y in zip(texts, labels.tolist(), strict=True):
+        if not y:
+            other.update({g for w in set(words) for g in grams(w) if g in held})
+    return {g: float(np.log((n / toxic + 1e-4) / (other[g] / clean + 1e-3))) for g, n in held.items()}
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: tuple[int, ...] = (3, 2, 3), batch: int = 192) -> Model:
     """A model from whole texts and their labels; rounds of `epochs`, windows chosen anew before each round."""
     rng = np.random.default_rng(seed)
-    split, y = [words_of(t) for t in texts], np.array(labels, dtype=np.int64)
+    one: dict[str, str] = {}  # a word is one string, however often it occurs
+    split, y = [[one.setdefault(w, w) for w in words_of(t)] for t in texts], np.array(labels, dtype=np.int64)
     counts = Counter(w for x in split for w in set(x))
     common = sorted((w for w, n in counts.items() if n > 2), key=lambda w: (-counts[w], w))[:VOCABULARY]
     p = {"embed": (rng.standard_normal((len(common) + 1, EMBED)) * 0.3).astype(np.float32), "char": (rng.standard_normal((512, CHAR)) * 0.5).astype(np.float32)}
@@ -257,6 +270,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5, epochs: tup
         return known[w]
 
     looks = [np.array([max(map(look, x), default=0.0) for x in per]) for per in windows]
+    odds, known = {}, {}  # not needed any more
     adam = gru.Adam(p, 0.01)
     for round_, times in enumerate(epochs):
         picked: list[tuple[list[str], int]] = []
@@ -305,7 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = F.broadcast(first[0].union(first[1]))  # at most 2 * sample rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample)
     found = [(r["text"], r["toxic"]) for r in texts.collect()]
-    return train([t for t, _ in found], [y for _, y in found])
+    model = train([t for t, _ in found], [y for _, y in found])
+    give_back()  # the stages after this one share the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

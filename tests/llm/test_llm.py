@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -584,3 +585,28 @@ def test_production_windows_on_the_test_data(spark):
         want = brute_repeats([split(t) for _, t in texts], length)
         got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in run(docs).collect()}
         assert got == {i: spans for (i, _), spans in zip(texts, want, strict=True)} and any(want)
+
+
+def test_training_memory_is_bounded():
+    """Windows are laid out in blocks, and n-grams of clean documents are only counted where toxic ones hold them."""
+    model = toxicity.train(["a b c d", "zork b"] * 20, [0, 1] * 20)
+    texts = [["a", "b"] * (toxicity.WINDOW // 2)] * 100_000
+    tracemalloc.start()
+    whole = model.score(texts)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 75 and np.allclose(whole, model.score(texts[:1])[0], atol=1e-5)
+    clean = [[f"w{i}x{j}" for j in range(50)] for i in range(1_000)]
+    toxic = [["zork", "plain"]] * 1_000
+    tracemalloc.start()
+    odds = toxicity.evidence(clean + toxic, np.array([0] * 1_000 + [1] * 1_000))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 5 and "^zork$" in odds and "^w1x" not in odds
+
+
+def test_rarity_is_short_in_the_plan(spark):
+    words = spark.range(300_000).select(F.concat(F.lit("w"), "id").alias("said"), F.lit(3).cast("long").alias("times"))
+    levels = linededup.rarity(words)
+    assert len(levels._jc.toString()) < 4 * linededup.BUCKETS
+    assert spark.range(1).select(F.array_max(levels)).first()[0] > 4
