@@ -610,3 +610,18 @@ def test_rarity_is_short_in_the_plan(spark):
     levels = linededup.rarity(words)
     assert len(levels._jc.toString()) < 4 * linededup.BUCKETS
     assert spark.range(1).select(F.array_max(levels)).first()[0] > 4
+
+
+def test_line_dedup_counts_some_files(spark, corpus, monkeypatch):
+    """The same lines go, whichever words count as rare, and only a part of a large table's files is read for that."""
+    docs, read = frame(spark, corpus), []
+    result = lambda: sorted(map(repr, linededup.per_document(docs).collect()))
+    want, whole = result(), linededup.rarity
+    monkeypatch.setattr(linededup, "COUNTED", 2)
+    monkeypatch.setattr(linededup, "rarity", lambda texts, each=1: read.append((each, len(texts.inputFiles()))) or whole(texts, each))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert result() == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert read[0][0] == linededup.EACH and read[0][1] > 1
