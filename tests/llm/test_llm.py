@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import tracemalloc
 import zlib
 from collections import Counter
@@ -551,6 +552,7 @@ def test_training_does_not_depend_on_the_process():
 
     code = """
 import random
+import re
 from spindrel.llm import toxicity
 rng = random.Random(1)
 words = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 6))) for _ in range(120)]
@@ -625,3 +627,17 @@ def test_line_dedup_counts_some_files(spark, corpus, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert read[0][0] == linededup.EACH and read[0][1] > 1
+
+
+def test_line_dedup_does_no_more_than_it_must(spark):
+    """A line has as many keys as missed words can break and one, its words are ordered once, and all keys are sorted by one number."""
+    texts = spark.createDataFrame([(n, n, 0, 1, " ".join(f"w{j}" for j in range(n))) for n in range(1, 60)], "r long, o long, often long, times long, said string")
+    met = linededup.meetings(texts, linededup.rarity(texts))
+    got = {r["r"]: r["count"] for r in met.groupBy(linededup.number("p").alias("r")).count().collect()}
+    broken = lambda n: max(2 * a + b for a in range(n) for b in range(n) if 4 * (a + b) <= n - a)
+    assert got == {n: 1 if n < linededup.SHORTEST else broken(n) + 1 for n in range(1, 60)}
+    plan = linededup.shared_keys(met, linededup.SIMILARITY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sort_array(") == 1 and len(re.findall(r"Sort \[key#\d+L ASC NULLS FIRST\],", plan)) == 1
+    said = ["", " ", "\t", " \x0b\x0c\r ", "!", "a", " \t.", "\x0b\x01", "\x1f", " ", " é", "\r "]
+    got = spark.createDataFrame([(s,) for s in said], "said string").select("said", linededup.has_words(F.col("said")).alias("has")).collect()
+    assert {r["said"]: r["has"] for r in got} == {s: bool(s.strip(linededup.BLANKS)) for s in said}
