@@ -1,18 +1,22 @@
-"""Cutting lineage: checkpoints in the folder that the cluster names."""
+"""Cutting lineage: tables written to the folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir. Where that is unset, a temporary folder serves on a single machine (tests); on a cluster it is an error."""
-    context = df.sparkSession.sparkContext
+    """df written once to spark.checkpoint.dir and read back by columns. Where that is unset, a temporary folder serves on a single machine (tests); on a cluster it is an error."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

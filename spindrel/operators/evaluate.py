@@ -30,13 +30,13 @@ def summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.rollup("bin", "ntags").agg(F.count(F.lit(1)).alias("queries"), (F.sum("hits") / F.sum("possible")).alias("recall"), F.sum("scored").alias("scored"))
 
 
-def latencies(timed: DataFrame, *by: str, column: str = "ms", digits: int = 3) -> DataFrame:
+def latencies(timed: DataFrame, *by: str, column: str = "ms", digits: int = 3, weight: str | None = None) -> DataFrame:
     """Count, mean, p50, p90, p99, p999 and maximum of a column, rounded to `digits`: percentiles as the value that so many rows do not exceed.
 
-    Values are counted first, so that a percentile sorts distinct values only; nulls are left out.
+    Values are counted first, so that a percentile sorts distinct values only; nulls are left out. weight: how often a row counts.
     """
     value = F.round(F.col(column).cast("double"), digits).alias("v")
-    counted = timed.where(F.col(column).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    counted = timed.where(F.col(column).isNotNull()).groupBy(*by, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c"))
     over = Window.partitionBy(*by)
     counted = counted.withColumn("upto", F.sum("c").over(over.orderBy("v"))).withColumn("n", F.sum("c").over(over))
     at = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}

@@ -39,11 +39,19 @@ def item_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.union(more).distinct()
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, qv, qtags): every tenth row's vector with the smallest, the largest or both tags of another row, in turn."""
+def item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, tags): each row's tags as a set."""
+    return item_tags(spark, sf_dir).groupBy("row").agg(F.collect_set("tag").alias("tags"))
+
+
+def queries(spark: SparkSession, sf_dir: str, sets: DataFrame | None = None) -> DataFrame:
+    """(qid, qv, qtags): every tenth row's vector with the smallest, the largest or both tags of another row, in turn. sets: `item_sets`, where they are at hand."""
     base = items(spark, sf_dir).where("row % 10 = 0")
     n = read(spark, sf_dir, "embeddings").count()
-    bounds = item_tags(spark, sf_dir).groupBy("row").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+    if sets is None:
+        bounds = item_tags(spark, sf_dir).groupBy("row").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
+    else:
+        bounds = sets.select("row", F.array_min("tags").alias("lo"), F.array_max("tags").alias("hi"))
     base = base.select(F.col("row").alias("qid"), F.col("u8").alias("qv"), ((F.col("row") * 7 + 3) % n).alias("from"), (F.floor(F.col("row") / 10) % 3).alias("kind"))
     tags = F.when(F.col("kind") == 0, F.array("lo")).when(F.col("kind") == 1, F.array("hi")).otherwise(F.array_distinct(F.array("lo", "hi")))
     return base.join(bounds, base["from"] == bounds["row"]).select("qid", "qv", tags.alias("qtags"))

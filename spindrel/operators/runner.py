@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrel.operators import search, stats
+from spindrel.operators.blocks import want
 from spindrel.operators.evaluate import hits
 from spindrel.operators.search import Budget, Corpus
 
@@ -42,12 +43,13 @@ def config_name(name: str, params: dict[str, str]) -> str:
 
 def work(corpus: Corpus, queries: DataFrame, name: str, params: dict[str, str]) -> DataFrame:
     """(qid, scored): rows that S0 or S4 score."""
-    rows = search.matching(corpus, queries)
-    if name == "S4":
-        rows = rows.join(corpus.cells, "row").join(search.probes(corpus, queries, int(params.get("nprobe", 16))).select("qid", "cell"), ["qid", "cell"])
-    elif name != "S0":
+    if name not in ("S0", "S4"):
         raise ValueError(f"the work of {name} is not defined by counts alone")
-    return rows.groupBy("qid").agg(F.count(F.lit(1)).alias("scored"))
+    own = queries.select("qid", want().alias("want"))
+    if name == "S0":
+        return own.join(stats.counted(corpus, queries), "want").select("qid", F.col("n").alias("scored"))
+    probed = search.probes(corpus, queries, int(params.get("nprobe", 16))).select("qid", F.col("cell").cast("long").alias("at"))
+    return own.join(probed, "qid").join(stats.counted(corpus, queries, cells=corpus.cells), ["want", "at"]).groupBy("qid").agg(F.sum("n").alias("scored"))
 
 
 def observe(corpus: Corpus, queries: DataFrame, specs: list[tuple[str, dict[str, str]]], truth: DataFrame, k: int = 10) -> DataFrame:

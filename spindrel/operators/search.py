@@ -6,17 +6,16 @@ Every strategy takes a `Corpus` and queries (qid, qv, qtags, ...) and returns (q
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrel.functions.predicates import Range, has_all, in_ranges
 from spindrel.functions.vectors import l2_u8
+from spindrel.operators import blocks
+from spindrel.operators.blocks import want
 
 
 @dataclass(frozen=True)
@@ -30,7 +29,7 @@ class Budget:
 
 @dataclass(frozen=True)
 class Corpus:
-    """items (row, u8), tags (row, tag) of live rows, attrs (row, ...) and, for the inverted files, cells (row, cell) and centroids (cell, c)."""
+    """items (row, u8), tags (row, tag) of live rows, attrs (row, ...) and, for the inverted files, cells (row, cell) and centroids (cell, c); nested is tags as sets (row, tags)."""
 
     items: DataFrame
     tags: DataFrame
@@ -38,10 +37,17 @@ class Corpus:
     cells: DataFrame | None = None
     centroids: DataFrame | None = None
     extra: dict = field(default_factory=dict)
+    nested: DataFrame | None = None
 
+    def sets(self) -> DataFrame:
+        """(row, tags): a row's tags as a set, bounded. `nested` where it is given."""
+        return self.tags.groupBy("row").agg(F.collect_set("tag").alias("tags")) if self.nested is None else self.nested
 
-#: Queries that are scanned against all items together; a larger batch is answered in several scans.
+
+#: Queries that `scan_tags` compares with all rows together; a larger batch is answered in several scans.
 SCAN_QUERIES = 4_096
+#: Items of a task of s1: each keeps as many rows of a query as the query fetches.
+S1_ITEMS = 65_536
 
 
 def best(scored: DataFrame, k) -> DataFrame:
@@ -67,66 +73,51 @@ def matching(corpus: Corpus, queries: DataFrame, ranges: tuple[Range, ...] = ())
 
 
 def scored(corpus: Corpus, queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(qid, row) pairs with exact distances."""
+    """(qid, row) pairs with exact distances. For few pairs; whole match sets go through `blocks`."""
     joined = pairs.join(corpus.items.select("row", "u8"), "row").join(queries.select("qid", "qv"), "qid")
     return joined.select("qid", "row", l2_u8("u8", "qv").alias("dist"))
 
 
-def s0(corpus: Corpus, queries: DataFrame, k: int, ranges: tuple[Range, ...] = ()) -> DataFrame:
-    """Pre-filter and score every match: exact. Queries without tags are scanned in blocks, not paired with every row first."""
-    untagged = F.coalesce(F.size("qtags"), F.lit(0)) <= 0
-    free = queries.where(untagged)
-    if free.isEmpty():
-        return best(scored(corpus, queries, matching(corpus, queries, ranges)), k)
-    items = corpus.items
+def held(corpus: Corpus, ranges: tuple[Range, ...] = ()) -> DataFrame:
+    """(row, u8, tags) of the items inside the ranges."""
+    items = corpus.items.select("row", "u8")
     if ranges:
         items = items.join(corpus.attrs.where(in_ranges(ranges)).select("row"), "row", "left_semi")
-    tagged = queries.where(~untagged)
-    return best(scored(corpus, tagged, matching(corpus, tagged, ranges)), k).unionByName(scan(items, free, k))
+    return items.join(corpus.sets(), "row", "left")
+
+
+def asked(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", "qv", want().alias("want"))
+
+
+def one_cell(df: DataFrame) -> DataFrame:
+    return df.withColumn("cell", F.lit(0))
+
+
+def s0(corpus: Corpus, queries: DataFrame, k: int, ranges: tuple[Range, ...] = ()) -> DataFrame:
+    """Pre-filter and score every match: exact. A query without tags is matched by every item."""
+    return best(blocks.top(one_cell(held(corpus, ranges)), one_cell(asked(queries)), k), k)
 
 
 def scan(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact unfiltered top k: each task keeps its k best of a block of queries while it reads items once."""
-    asked = queries.select("qid", "qv").toLocalIterator()
-    blocks, block = [], []
-    for r in asked:
-        block.append((r["qid"], r["qv"]))
-        if len(block) == SCAN_QUERIES:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    spark, out = items.sparkSession, None
-    for part in blocks:
-        shared = spark.sparkContext.broadcast(part)  # at most SCAN_QUERIES vectors
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids = np.array([q for q, _ in shared.value], dtype=np.int64)
-            vectors = np.array([v for _, v in shared.value], dtype=np.float64).reshape(len(ids), -1)
-            dist, row = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    piece = batch.slice(at, 2048)
-                    rows, flat = np.asarray(piece.column(0)), np.asarray(piece.column(1).flatten(), dtype=np.float64)
-                    points = flat.reshape(len(rows), -1)
-                    d = (vectors**2).sum(1)[:, None] - 2 * vectors @ points.T + (points**2).sum(1)  # integers: exact in doubles
-                    alld, allr = np.concatenate([dist, d], 1), np.concatenate([row, np.broadcast_to(rows, d.shape)], 1)
-                    first = np.lexsort((allr, alld), axis=-1)[:, :k]
-                    dist, row = np.take_along_axis(alld, first, 1), np.take_along_axis(allr, first, 1)
-            q, j = np.nonzero(np.isfinite(dist))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(row[q, j]), pa.array(dist[q, j].astype(np.int64))], names=["qid", "row", "dist"])
-
-        found = items.select("row", "u8").mapInArrow(run, "qid long, row long, dist long")
-        out = found if out is None else out.union(found)
-    return best(out, k)
+    """Exact unfiltered top k."""
+    return best(blocks.top(one_cell(_untagged(items)), one_cell(_asks_nothing(queries)), k), k)
+
+
+def _untagged(items: DataFrame) -> DataFrame:
+    return items.select("row", "u8", F.lit(None).cast("array<bigint>").alias("tags"))
+
+
+def _asks_nothing(queries: DataFrame, *more: str) -> DataFrame:
+    return queries.select("qid", "qv", F.array().cast("array<bigint>").alias("want"), *more)
 
 
 def scan_tags(corpus: Corpus, queries: DataFrame) -> DataFrame:
     """(qid, row) of rows with all of a query's tags: the nested column is read once for a block of about SCAN_QUERIES queries."""
-    nested = corpus.tags.groupBy("row").agg(F.collect_set("tag").alias("tags"))  # a row's own tags: bounded
-    blocks, out = max(1, -(-queries.count() // SCAN_QUERIES)), None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).select("qid", "qtags")
-        found = nested.join(F.broadcast(part), has_all("tags", "qtags")).select("qid", "row")
+    count, out = max(1, -(-queries.count() // SCAN_QUERIES)), None
+    for block in range(count):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == block).select("qid", "qtags")
+        found = corpus.sets().join(F.broadcast(part), has_all("tags", "qtags")).select("qid", "row")
         out = found if out is None else out.union(found)
     return out
 
@@ -141,10 +132,12 @@ def s1(corpus: Corpus, queries: DataFrame, k: int, budget: Budget, match_counts:
         raise ValueError(f"max(k, ef) = {least} is above max_fetch = {budget.max_fetch}")
     fetch = F.least(F.greatest(F.ceil(F.lit(float(k * live)) / F.col("matches") * budget.safety), F.lit(least)), F.lit(budget.max_fetch))
     wanted = match_counts.where("matches > 0").select("qid", fetch.cast("long").alias("fetch"))
-    most = wanted.agg(F.max("fetch")).first()[0] or least
-    near = scan(corpus.items, queries.join(wanted, "qid", "left_semi"), int(min(most, live)))
+    fetched = _asks_nothing(queries.join(wanted, "qid"), "fetch")
+    near = best(blocks.top(one_cell(_untagged(corpus.items)), one_cell(fetched), None, items=S1_ITEMS), int(budget.max_fetch))
     near = near.join(wanted, "qid").where(F.col("rk") <= F.col("fetch")).select("qid", "row", "dist")
-    return best(near.join(matching(corpus, queries), ["qid", "row"], "left_semi"), k)
+    passing = near.join(queries.select("qid", want().alias("want")), "qid").join(corpus.sets(), "row", "left")
+    passing = passing.where(has_all(F.coalesce("tags", F.array().cast("array<bigint>")), "want"))
+    return best(passing.select("qid", "row", "dist"), k)
 
 
 def probes(corpus: Corpus, queries: DataFrame, nprobe: int) -> DataFrame:
@@ -157,19 +150,19 @@ def probes(corpus: Corpus, queries: DataFrame, nprobe: int) -> DataFrame:
 
 
 def s4(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, ranges: tuple[Range, ...] = ()) -> DataFrame:
-    """Inverted file: matches in the nprobe nearest cells, scored exactly. The planner chooses which side drives the join."""
-    inside = matching(corpus, queries, ranges).join(corpus.cells, "row").join(probes(corpus, queries, nprobe).select("qid", "cell"), ["qid", "cell"])
-    return best(scored(corpus, queries, inside.select("qid", "row")), k)
+    """Inverted file: a query meets the nprobe nearest cells only, and there it is s0."""
+    return _in_cells(corpus, queries, k, nprobe, ranges, False)
 
 
 def s4_filter(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, ranges: tuple[Range, ...] = ()) -> DataFrame:
-    """The same cells as a plain filter: members of the probed cells first, then ranges, then tags on the nested column."""
-    nested = corpus.tags.groupBy("row").agg(F.collect_set("tag").alias("tags"))  # a row's own tags: bounded
-    members = corpus.cells
-    if ranges:
-        members = members.join(corpus.attrs.where(in_ranges(ranges)).select("row"), "row", "left_semi")
-    members = probes(corpus, queries, nprobe).join(members, "cell").join(queries.select("qid", "qtags"), "qid").join(nested, "row")
-    return best(scored(corpus, queries, members.where(has_all("tags", "qtags")).select("qid", "row")), k)
+    """The same cells as a plain filter: members of the probed cells first, then tags on the nested column."""
+    return _in_cells(corpus, queries, k, nprobe, ranges, True)
+
+
+def _in_cells(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, ranges: tuple[Range, ...], scan: bool) -> DataFrame:
+    members = held(corpus, ranges).join(corpus.cells, "row")
+    visits = asked(queries).join(probes(corpus, queries, nprobe).select("qid", "cell"), "qid")
+    return best(blocks.top(members, visits, k, scan=scan), k)
 
 
 def s6(corpus: Corpus, queries: DataFrame, k: int, tag_cells: DataFrame, tag_centroids: DataFrame, ef: int = 5_000, nprobe: int = 1 << 30, small: int = 20_000) -> DataFrame:
@@ -185,13 +178,15 @@ def s6(corpus: Corpus, queries: DataFrame, k: int, tag_cells: DataFrame, tag_cen
     led = queries.join(lead, "qid")
     rest = s0(corpus, queries.join(lead, "qid", "left_anti"), k)
     square = F.aggregate(F.zip_with("qv", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    cells = led.select("qid", "tag", "qv").join(tag_centroids, "tag").select("qid", "tag", "cell", square.alias("cdist"))
-    inside = cells.join(tag_cells, ["tag", "cell"]).join(matching(corpus, led), ["qid", "row"])
-    sizes = inside.groupBy("qid", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = led.select("qid", want().alias("want"), "tag", "qv").join(tag_centroids, "tag").select("qid", "want", "tag", "cell", square.alias("cdist"))
+    members = tag_cells.join(lead.select("tag").distinct(), "tag", "left_semi").join(corpus.sets(), "row")
+    sizes = blocks.tally(members.select(F.col("tag").alias("cell"), "row", "tags", F.col("cell").alias("at")), led.select(F.col("tag").alias("cell"), want().alias("want")))
+    sizes = sizes.select(F.col("cell").alias("tag"), "want", F.col("at").cast("int").alias("cell"), "n")
     order = Window.partitionBy("qid").orderBy("cdist", "cell")
-    ranked = cells.join(sizes, ["qid", "cell"], "left").withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("order", F.row_number().over(order))
-    visited = ranked.where((F.col("before") < max(k, ef)) & (F.col("order") <= nprobe)).select("qid", "cell")
-    return best(scored(corpus, led, inside.join(visited, ["qid", "cell"]).select("qid", "row")), k).union(rest)
+    ranked = cells.join(sizes, ["tag", "want", "cell"], "left").withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("order", F.row_number().over(order))
+    visited = ranked.where((F.col("before") < max(k, ef)) & (F.col("order") <= nprobe) & F.col("n").isNotNull()).select("qid", F.struct("tag", F.col("cell").cast("int").alias("cell")).alias("cell"))
+    inside = members.join(corpus.items.select("row", "u8"), "row").select(F.struct("tag", F.col("cell").cast("int").alias("cell")).alias("cell"), "row", "u8", "tags")
+    return best(blocks.top(inside, asked(led).join(visited, "qid"), k), k).union(rest)
 
 
 def s2(corpus: Corpus, queries: DataFrame, k: int, budget: Budget, threshold: int = 0) -> DataFrame:

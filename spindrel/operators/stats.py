@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from spindrel.operators.cut import cut
 from spindrel.functions.predicates import Range, decade, in_ranges, selectivity_bin
-from spindrel.operators.search import Corpus, matching
+from spindrel.operators import blocks
+from spindrel.operators.blocks import want
+from spindrel.operators.search import Corpus
 
 
 def cardinality(tags: DataFrame) -> DataFrame:
@@ -20,10 +22,22 @@ def histogram(tags: DataFrame) -> DataFrame:
     return cardinality(tags).groupBy(decade(F.col("card")).alias("decade")).agg(F.count(F.lit(1)).alias("tags"), F.sum("card").alias("entries"))
 
 
+def counted(corpus: Corpus, queries: DataFrame, ranges: tuple[Range, ...] = (), cells: DataFrame | None = None) -> DataFrame:
+    """(want, at, n): rows that pass each set of tags that is asked for, by the cell (row, cell) they are in; 0 without cells. Every live row passes the empty set."""
+    inside = corpus.attrs.where(in_ranges(ranges)).select("row") if ranges else None
+    within = lambda df: df if inside is None else df.join(inside, "row", "left_semi")
+    placed = lambda df: df.withColumn("at", F.lit(0)) if cells is None else df.join(cells.select("row", F.col("cell").alias("at")), "row")
+    wanted = queries.select(F.lit(0).alias("cell"), want().alias("want")).distinct()
+    tagged = blocks.tally(placed(within(corpus.sets())).withColumn("cell", F.lit(0)), wanted.where(F.size("want") > 0)).select("want", "at", "n")
+    free = placed(within(corpus.items.select("row"))).groupBy(F.col("at").cast("long").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return tagged.unionByName(wanted.where(F.size("want") == 0).join(free, how="cross").select("want", "at", "n"))
+
+
 def match_counts(corpus: Corpus, queries: DataFrame, ranges: tuple[Range, ...] = ()) -> DataFrame:
     """(qid, ntags, matches), exact; queries without matches stay with 0."""
-    found = matching(corpus, queries, ranges).groupBy("qid").agg(F.count(F.lit(1)).alias("matches"))
-    return queries.select("qid", F.size(F.array_distinct("qtags")).alias("ntags")).join(found, "qid", "left").select("qid", "ntags", F.coalesce("matches", F.lit(0)).alias("matches"))
+    found = counted(corpus, queries, ranges).select("want", F.col("n").alias("matches"))
+    own = queries.select("qid", F.size(F.array_distinct("qtags")).alias("ntags"), want().alias("want"))
+    return own.join(found, "want", "left").select("qid", "ntags", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 def selectivity(corpus: Corpus, queries: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from spindrel.engine import Engine
 from spindrel.functions.predicates import Range
 from spindrel.functions.vectors import quantise
-from spindrel.operators import evaluate, graph, ivf, model, runner, search, stats
+from spindrel.operators import blocks, evaluate, graph, ivf, model, runner, search, stats
+from spindrel.operators.blocks import want
 from spindrel.operators.cut import cut
 from spindrel.operators.search import Budget, Corpus
 from spindrel.plans import planner
@@ -24,14 +25,12 @@ FEW = 5
 KNOB, TAU, TARGET = 400.0, 0.8, 0.85
 
 
-def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
-    items = model.items(spark, sf_dir)
+def batch(spark: SparkSession, sf_dir: str, files: bool = False) -> tuple[Corpus, DataFrame]:
+    """Corpus and queries, each table read from what is written once. `files`: the labels' centroids too, where a plan reads them."""
+    items, sets = model.items(spark, sf_dir), cut(model.item_sets(spark, sf_dir))
     cells, centroids = ivf.label_cells(items)
-    return Corpus(items, model.item_tags(spark, sf_dir), model.attributes(items), cells, centroids)
-
-
-def batch(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
-    return corpus_of(spark, sf_dir), model.queries(spark, sf_dir)
+    corpus = Corpus(items, sets.select("row", F.explode("tags").alias("tag")), model.attributes(items), cells, cut(centroids) if files else centroids, nested=sets)
+    return corpus, cut(model.queries(spark, sf_dir, sets))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,7 +137,7 @@ def s1_post_filter(spark, d):
 
 @register("ivf_probe", "SELECT qid, cell, ord FROM probed WHERE ord <= 3", CELLS)
 def ivf_probe(spark, d):
-    return search.probes(*batch(spark, d), 3).select("qid", "cell", F.col("order").alias("ord"))
+    return search.probes(*batch(spark, d, True), 3).select("qid", "cell", F.col("order").alias("ord"))
 
 
 _S4 = "SELECT * FROM (SELECT s.qid, CAST(row_number() OVER (PARTITION BY s.qid ORDER BY s.dist, s.row) AS INTEGER) AS rk, s.row, s.dist FROM scored s JOIN cells c ON c.row = s.row JOIN probed p ON p.qid = s.qid AND p.cell = c.cell AND ord <= 3{0}) WHERE rk <= 10"
@@ -146,17 +145,17 @@ _S4 = "SELECT * FROM (SELECT s.qid, CAST(row_number() OVER (PARTITION BY s.qid O
 
 @register("s4_label_ivf", _S4.format(""), CELLS)
 def s4_label_ivf(spark, d):
-    return search.s4(*batch(spark, d), K, 3)
+    return search.s4(*batch(spark, d, True), K, 3)
 
 
 @register("s4_range", _S4.format(f" JOIN attrs a ON a.row = s.row WHERE {IN_RANGES}"), CELLS, ATTRS)
 def s4_range(spark, d):
-    return search.s4(*batch(spark, d), K, 3, RANGES)
+    return search.s4(*batch(spark, d, True), K, 3, RANGES)
 
 
 @register("s4l_cell_filter", _S4.format(""), CELLS)
 def s4l_cell_filter(spark, d):
-    return search.s4_filter(*batch(spark, d), K, 3)
+    return search.s4_filter(*batch(spark, d, True), K, 3)
 
 
 _CARDS = "cards AS (SELECT tag, count(*) AS card FROM item_tags GROUP BY tag)"
@@ -171,7 +170,7 @@ def independence_estimate(spark, d):
 @register("two_way_rule", """SELECT * FROM (SELECT s.qid, CAST(row_number() OVER (PARTITION BY s.qid ORDER BY s.dist, s.row) AS INTEGER) AS rk, s.row, s.dist
 FROM scored s JOIN est e ON e.qid = s.qid JOIN cells c ON c.row = s.row JOIN probed p ON p.qid = s.qid AND p.cell = c.cell WHERE e.estimate < 0.05 OR ord <= 2) WHERE rk <= 10""", CELLS, _CARDS, _EST)
 def two_way_rule(spark, d):
-    return search.two_way(*batch(spark, d), K, 0.05, 2)
+    return search.two_way(*batch(spark, d, True), K, 0.05, 2)
 
 
 @register("tag_cardinality", "SELECT * FROM cards", _CARDS)
@@ -249,17 +248,20 @@ def query_pick(spark, d):
 
 @register("filter_modes", "SELECT qid, count(*) AS terms, count(*) AS nested, count(*) AS state FROM matching GROUP BY qid")
 def filter_modes(spark, d):
-    """The three ways of filtering: postings, a scan of the nested column, the state table; all find the same rows."""
+    """The three ways of filtering: postings, a scan of the nested column, the state table; all find the same rows. A set of tags that several queries ask for is looked up once."""
     corpus, queries = batch(spark, d)
-    terms = search.matching(corpus, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("terms"))
-    nested = search.scan_tags(corpus, queries).groupBy("qid").agg(F.count(F.lit(1)).alias("nested"))
-    live = corpus.tags.groupBy("row").agg(F.sort_array(F.collect_set("tag")).alias("tags")).select("row", F.explode("tags").alias("tag"))
-    state = search.matching(Corpus(corpus.items, live), queries).groupBy("qid").agg(F.count(F.lit(1)).alias("state"))
-    return terms.join(nested, "qid").join(state, "qid")
+    own = queries.select("qid", want().alias("want"))
+    wanted = cut(own.select(F.xxhash64("want").alias("qid"), F.col("want").alias("qtags")).groupBy("qtags").agg(F.first("qid").alias("qid")))
+    live = Corpus(corpus.items, corpus.tags.groupBy("row").agg(F.sort_array(F.collect_set("tag")).alias("tags")).select("row", F.explode("tags").alias("tag")))
+    ways = {"terms": search.matching(corpus, wanted), "nested": search.scan_tags(corpus, wanted), "state": search.matching(live, wanted)}
+    found = wanted.select("qid", F.col("qtags").alias("want"))
+    for name, pairs in ways.items():
+        found = found.join(pairs.groupBy("qid").agg(F.count(F.lit(1)).alias(name)), "qid")
+    return own.join(found.drop("qid"), "want").select("qid", *ways)
 
 
 def observed(spark, d) -> tuple[Corpus, DataFrame, DataFrame]:
-    corpus, queries = batch(spark, d)
+    corpus, queries = batch(spark, d, True)
     truth = cut(search.s0(corpus, queries, K + 2))
     return corpus, queries, cut(runner.observe(corpus, queries, SPECS, truth, K))
 
@@ -312,7 +314,7 @@ def best_config(spark, d):
 
 @register("truth_check", "SELECT count(DISTINCT qid) AS queries, CAST(count(DISTINCT qid) AS BIGINT) AS same, CAST(0 AS BIGINT) AS max_diff FROM truth WHERE rk <= 10", CELLS, COUNTS, OBS)
 def truth_check(spark, d):
-    corpus, queries = batch(spark, d)
+    corpus, queries = batch(spark, d, True)
     return evaluate.verify_truth(search.s4(corpus, queries, K, 10), search.s0(corpus, queries, K))
 
 
@@ -458,7 +460,7 @@ v AS (SELECT l.share, s.qid, s.row, row_number() OVER (PARTITION BY l.share, s.q
 h AS (SELECT t.share, t.qid, count(*) AS possible, count(v.row) AS hits FROM t LEFT JOIN v ON v.share = t.share AND v.qid = t.qid AND v.row = t.row AND v.rk <= 10 WHERE t.rk <= 10 GROUP BY t.share, t.qid)
 SELECT share, count(*) AS queries, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(possible) AS BIGINT) AS possible, sum(hits) / CAST(sum(possible) AS DOUBLE) AS recall FROM h GROUP BY share""", CELLS)
 def tombstone_drift(spark, d):
-    return workload.tombstone_drift(*batch(spark, d), K, 2, (0, 20, 60))
+    return workload.tombstone_drift(*batch(spark, d, True), K, 2, (0, 20, 60))
 
 
 @register("constructed_workload", """, w AS (
@@ -516,7 +518,7 @@ def graph_recall(spark, d):
 
 @register("s4l_range", _S4.format(f" JOIN attrs a ON a.row = s.row WHERE {IN_RANGES}"), CELLS, ATTRS)
 def s4l_range(spark, d):
-    return search.s4_filter(*batch(spark, d), K, 3, RANGES)
+    return search.s4_filter(*batch(spark, d, True), K, 3, RANGES)
 
 
 @register("s0_untagged", f"""SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row) AS INTEGER) AS rk, row, dist FROM (
@@ -536,7 +538,7 @@ def top_tags(spark, d):
 @register("query_pick_valid", "SELECT qid FROM (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i FROM (SELECT DISTINCT qid FROM matching)) WHERE i % 3 = 0 AND i < 3 * 12")
 def query_pick_valid(spark, d):
     corpus, queries = batch(spark, d)
-    return stats.pick_queries(queries, 3, 12, search.matching(corpus, queries)).select("qid")
+    return stats.pick_queries(queries, 3, 12, stats.match_counts(corpus, queries).where("matches > 0")).select("qid")
 
 
 @register("scored_latency", """, t AS (SELECT round(CAST(dist AS DOUBLE) / 1000, 3) AS v FROM scored), o AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM t)
@@ -545,8 +547,8 @@ SELECT count(*) AS count, round(avg(v), 6) AS mean, min(v) FILTER (i >= ceil(n *
 def scored_latency(spark, d):
     """The summary of latencies, over distances in thousands in place of milliseconds, which no two runs share."""
     corpus, queries = batch(spark, d)
-    timed = search.scored(corpus, queries, search.matching(corpus, queries)).select((F.col("dist") / 1000).alias("ms"))
-    return evaluate.latencies(timed).withColumn("mean", F.round("mean", 6))
+    timed = blocks.spectrum(search.one_cell(search.held(corpus)), search.one_cell(search.asked(queries))).select((F.col("dist") / 1000).alias("ms"), "n")
+    return evaluate.latencies(timed, weight="n").withColumn("mean", F.round("mean", 6))
 
 
 @register("plan_log", """SELECT config, count(*) AS queries, round(avg(c.lat), 6) AS predicted_cost, round(avg(o.scored), 6) AS cost, round(avg(c.rec), 9) AS predicted_recall, round(sum(hits) / CAST(sum(possible) AS DOUBLE), 9) AS recall
@@ -592,7 +594,7 @@ s2 AS (SELECT m.qid, m.row, CAST(list_sum(list_transform(list_zip(i.u8, q.qv), l
 SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, row) AS INTEGER) AS rk, row, dist FROM s2) WHERE rk <= 10""")
 def engine_updates(spark, d):
     """The inverted file over all cells after deletes, upserts, new rows and attribute changes, half of them compacted: what s0 finds."""
-    corpus, queries = batch(spark, d)
+    corpus, queries = batch(spark, d, True)
     n, length = corpus.items.count(), len(corpus.items.first()["u8"])
     engine = Engine(spark, corpus.items, corpus.tags, corpus.attrs, cells=corpus.cells, centroids=corpus.centroids)
     for r in [10 * j + 5 for j in range(20)] + [n + j for j in range(5)]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spindrel.operators import ivf, search
+from spindrel.operators.cut import cut
 from spindrel.operators.evaluate import hits, recall
 from spindrel.operators.search import Corpus
 
@@ -59,12 +60,13 @@ def merge_recall(corpus: Corpus, queries: DataFrame, k: int, nprobe: int, share:
     live = corpus.items.where((F.col("row") * 7919) % 100 >= share)
     held = live.select("row", "u8").join(corpus.cells, "row").withColumnRenamed("cell", "label")
     cells, centroids = ivf.label_cells(held)
-    return checkpoint_recall(Corpus(corpus.items, corpus.tags, corpus.attrs, cells, centroids), live.select("row"), queries, k, nprobe)
+    return checkpoint_recall(Corpus(corpus.items, corpus.tags, corpus.attrs, cells, cut(centroids), nested=corpus.nested), live.select("row"), queries, k, nprobe)
 
 
 def checkpoint_recall(corpus: Corpus, live: DataFrame, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
     """(queries, hits, possible, recall) of the inverted file against the exact search, both over the live rows (row) of a snapshot."""
-    now = Corpus(corpus.items.join(live, "row", "left_semi"), corpus.tags.join(live, "row", "left_semi"), corpus.attrs, corpus.cells, corpus.centroids)
+    sets = corpus.sets().join(live, "row", "left_semi")
+    now = Corpus(corpus.items.join(live, "row", "left_semi"), corpus.tags.join(live, "row", "left_semi"), corpus.attrs, corpus.cells, corpus.centroids, nested=sets)
     truth = search.s0(now, queries, k)
     return recall(hits(search.s4(now, queries, k, nprobe), truth, k))
 
